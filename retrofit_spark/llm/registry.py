@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import exact, secrets
 
 
 def documents_of(spark, sf_dir):
@@ -13,5 +13,17 @@ def op1_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(documents_of(spark, sf_dir)))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan}
-ORACLES: dict[str, str] = {}
+def op2_exact_dedup(spark, sf_dir):
+    return exact.exact_dedup(documents_of(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_exact_dedup": op2_exact_dedup,
+}
+ORACLES = {
+    "op2_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+}
