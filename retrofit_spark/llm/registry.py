@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, secrets
+from . import bpe, counts, decontaminate, exact, secrets, store
 
 
 def documents_of(spark, sf_dir):
@@ -21,10 +21,25 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.decontaminate(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_bpe_round_trip(spark, sf_dir):
+    return bpe.round_trip(documents_of(spark, sf_dir))
+
+
+def op5_token_store(spark, sf_dir):
+    return store.stored_summary(documents_of(spark, sf_dir))
+
+
+def op7_token_counts(spark, sf_dir):
+    return counts.count_tokens(documents_of(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_token_store": op5_token_store,
+    "op7_token_counts": op7_token_counts,
 }
 ORACLES = {
     "op2_exact_dedup": """
