@@ -63,15 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _one_kept(found: DataFrame) -> DataFrame:
-    """kept, with one row of each group even where rows repeat the largest doc_id."""
-    top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    key = [F.col("step"), F.col("group")]
-    winners = found.where(top & F.col("group").isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    repeated = winners.where("n > 1").withColumnRenamed("group", "again").withColumnRenamed("step", "again_step")
-    cols = ["doc_id", "keep_id", "group_size"]
-    plain = found.join(repeated, (F.col("group") == F.col("again")) & (F.col("step") == F.col("again_step")) & top, "left")
-    # Rows that repeat a winner are rare; of them, and only of them, the first of a window is kept.
-    single = plain.where("again IS NULL").select(*cols, top.alias("kept"), "text_sha256")
-    twice = plain.where("again IS NOT NULL").groupBy("step", "group", *cols, "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    twice = twice.select(*cols, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "text_sha256").select(*cols, (F.col("k") == 1).alias("kept"), "text_sha256")
-    return single.unionByName(twice)
+    """kept, with one row of each group even where rows repeat the largest doc_id: those rows are counted, and dealt out again with one of them kept."""
+    cols, top = ["doc_id", "keep_id", "group_size"], F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    decided = found.where(F.col("group").isNull() | ~top).select(*cols, F.col("group").isNull().alias("kept"), "text_sha256")
+    winners = found.where(F.col("group").isNotNull() & top).groupBy("step", "group", *cols, "text_sha256").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    winners = winners.select(*cols, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"), "text_sha256")
+    return decided.unionByName(winners.select(*cols, (F.col("nth") == 1).alias("kept"), "text_sha256"))
