@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         keyed = rest.withColumn("digit", digit)
         groups = keyed.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
         groups = scratch.write(groups.where("group_size > 1").withColumn("next_group", F.monotonically_increasing_id()), f"groups{step}")
-        joined = keyed.join(groups, ["group", "digit"], "left")
+        joined = keyed.join(groups.hint("merge"), ["group", "digit"], "left")  # by one plan at every size
         state = scratch.write(
             joined.select(
                 "doc_id", "text_sha256", "group_size", "keep_id", F.col("next_group").alias("group"),
