@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, exact, secrets, store
+from . import bpe, counts, decontaminate, exact, lm, quality, secrets, store
 
 
 def documents_of(spark, sf_dir):
@@ -33,6 +33,14 @@ def op7_token_counts(spark, sf_dir):
     return counts.count_tokens(documents_of(spark, sf_dir))
 
 
+def op8_lm_score(spark, sf_dir):
+    return lm.score_documents(documents_of(spark, sf_dir))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.classify(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -40,6 +48,8 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_token_store": op5_token_store,
     "op7_token_counts": op7_token_counts,
+    "op8_lm_score": op8_lm_score,
+    "op9_quality": op9_quality,
 }
 ORACLES = {
     "op2_exact_dedup": """
