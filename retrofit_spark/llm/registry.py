@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, exact, lm, quality, secrets, store
+from . import bpe, counts, decontaminate, exact, lm, near, quality, secrets, store
 
 
 def documents_of(spark, sf_dir):
@@ -41,6 +41,10 @@ def op9_quality(spark, sf_dir):
     return quality.classify(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_near_dedup(spark, sf_dir):
+    return near.near_classes(documents_of(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -50,6 +54,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLES = {
     "op2_exact_dedup": """
