@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, exact, lm, near, quality, secrets, store
+from . import bpe, counts, decontaminate, exact, lm, near, quality, repeats, secrets, store
 
 
 def documents_of(spark, sf_dir):
@@ -29,6 +29,10 @@ def op5_token_store(spark, sf_dir):
     return store.stored_summary(documents_of(spark, sf_dir))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return repeats.remove_repeats(documents_of(spark, sf_dir))
+
+
 def op7_token_counts(spark, sf_dir):
     return counts.count_tokens(documents_of(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_token_store": op5_token_store,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
