@@ -49,6 +49,12 @@ def op10_near_dedup(spark, sf_dir):
     return near.near_classes(documents_of(spark, sf_dir))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_exact_dedup": op2_exact_dedup,
@@ -60,6 +66,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "pipeline": pipeline,
 }
 ORACLES = {
     "op2_exact_dedup": """
