@@ -1,22 +1,25 @@
 """Exact encoding of many texts by the tokenizers library, with every repeated stretch encoded once.
 
-A break is proven safe where a space follows a visible ASCII character or a Latin letter of U+00C0 to
-U+00FF: no alternative of either tokenizer's splitting pattern matches across it, the pattern's only
-look-ahead concerns runs of white space, special tokens hold no space, and NFC, lower-casing and
-white-space folding don't cross it. So the ids of a text are the ids of its stretches between safe
-breaks, one after the other. Stretches are told apart by hash and then compared byte by byte.
+A break is proven safe where white space follows a visible ASCII character or a Latin letter of U+00C0 to
+U+00FF, or where a mark of .,;:!?) follows a letter of these: no alternative of either tokenizer's
+splitting pattern matches across it, the pattern's only look-ahead concerns runs of white space,
+special tokens hold neither white space nor such marks, and NFC, lower-casing and white-space folding
+don't cross it. So the ids of a text are the ids of its stretches between safe breaks, one after the
+other. Stretches are told apart by hash and then compared byte by byte.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 from .arrowtext import SpanHash, spread
 
-MEMO_UNITS, MEMO_BYTES = 200_000, 64
+MEMO_UNITS, MEMO_BYTES = 150_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,19 +39,36 @@ def load(path: str):
     return tokenizer
 
 
+_SPACE, _LETTER, _MARK = (np.zeros(256, bool) for _ in range(3))
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[list(b".,;:!?)")] = True
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+_FOLDED[[9, 10, 11, 12, 13]] = 32
+
+
 def safe_breaks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Row starts and safe breaks within rows, ascending; empty rows have none."""
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 1:
-        prev = data[:-1]
-        solid = (prev > 0x20) & (prev < 0x7F)
-        solid[1:] |= (data[:-2] == 0xC3) & (prev[1:] >= 0x80)
-        cut[1:-1] = solid & (data[1:] == 0x20)
+        prev, now = data[:-1], data[1:]
+        latin = np.zeros(len(prev), bool)
+        latin[1:] = (data[:-2] == 0xC3) & (prev[1:] >= 0x80) & (prev[1:] != 0x97) & (prev[1:] != 0xB7)
+        cut[1:-1] = ((prev > 0x20) & (prev < 0x7F) | latin) & _SPACE[now] | (_LETTER[prev] | latin) & _MARK[now]
     cut[offsets[:-1]] = True
     cut[len(data)] = False
     return np.flatnonzero(cut)
 
 
+def drops_case_and_space(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, makes white space one blank, and drops it."""
+    made = json.loads(tokenizer.to_str())
+    kinds = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
+    first = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    return "Lowercase" in kinds and "Replace" in kinds and first.get("behavior") == "Removed" and bool(first.get("invert"))
+
+
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: SpanHash) -> tuple[np.ndarray, np.ndarray]:
     """(first, inverse) over spans that tile `data`: which span first has each content, and each span's content."""
     _, first, inverse = np.unique(hashes.of(starts, ends), return_index=True, return_inverse=True)
@@ -65,53 +85,63 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: Spa
 
 
 class UnitEncoder:
-    """Ids of stretches of bytes. Keeps a bounded memo of short stretches over the life of a Python worker."""
+    """Ids of stretches of bytes. Keeps a bounded memo of short stretches over the life of a Python worker:
+    what has been met since the memo last filled up, and what had been met in the filling before that."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = load(path), {}
+        self.tokenizer, self.memo, self.older = load(path), {}, {}
+        self.folds = drops_case_and_space(self.tokenizer)
 
     def lookup(self, units: list[bytes]) -> list[bytes]:
         """The ids of each unit as uint32 bytes."""
-        found = [self.memo.get(u) for u in units]
-        missing = [k for k, x in enumerate(found) if x is None]
+        memo, older = self.memo, self.older
+        found = [memo.get(u) for u in units]
+        missing = []
+        for k, x in enumerate(found):
+            if x is None:
+                again = older.get(units[k])
+                if again is None:
+                    missing.append(k)
+                else:
+                    found[k] = memo[units[k]] = again
         if missing:
-            if len(self.memo) + len(missing) > MEMO_UNITS:
-                self.memo.clear()
             encoded = self.tokenizer.encode_batch_fast([units[k].decode() for k in missing], add_special_tokens=False)
             for k, e in zip(missing, encoded, strict=True):
-                found[k] = np.array(e.ids, np.uint32).tobytes()
+                found[k] = array("I", e.ids).tobytes()
                 if len(units[k]) <= MEMO_BYTES:
-                    self.memo[units[k]] = found[k]
+                    memo[units[k]] = found[k]
+        if len(memo) > MEMO_UNITS:
+            self.memo, self.older = {}, memo
         return found
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, offsets of the rows among them)."""
+    def _parts(self, data: np.ndarray, offsets: np.ndarray):
+        """(ids of all distinct stretches, where each one's begin, how many, which stretch is where, starts of stretches)."""
         starts = safe_breaks(data, offsets)
-        if not len(starts) or not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         starts = starts[starts < len(data)]
+        # Letters of either case and kinds of white space fold where no combining mark could tell them apart.
+        if self.folds and data.max() < 0xC4 and b"<|" not in data.tobytes():
+            data = _FOLDED[data]
         ends = np.append(starts[1:], len(data))
         first, inverse = distinct(data, starts, ends, SpanHash(data))
         raw = data.tobytes()
         ids = self.lookup([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
         sizes = np.array([len(x) for x in ids], np.int64) >> 2
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        begin = np.cumsum(sizes) - sizes
+        return np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes, sizes, inverse, starts
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, offsets of the rows among them)."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        flat, begin, sizes, inverse, starts = self._parts(data, offsets)
         counts = sizes[inverse]
         total = np.concatenate(([0], np.cumsum(counts)))
         return flat[spread(begin[inverse], counts)], total[np.searchsorted(starts, offsets)]
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of ids of each row."""
-        starts = safe_breaks(data, offsets)
-        if not len(starts) or not len(data):
+        if not len(data):
             return np.zeros(len(offsets) - 1, np.int64)
-        starts = starts[starts < len(data)]
-        ends = np.append(starts[1:], len(data))
-        first, inverse = distinct(data, starts, ends, SpanHash(data))
-        raw = data.tobytes()
-        ids = self.lookup([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        sizes = np.array([len(x) for x in ids], np.int64) >> 2
+        _, _, sizes, inverse, starts = self._parts(data, offsets)
         total = np.concatenate(([0], np.cumsum(sizes[inverse])))
         return np.diff(total[np.searchsorted(starts, offsets)])
 
