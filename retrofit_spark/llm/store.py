@@ -220,14 +220,22 @@ def _read_chunks(width: str):
 def _read_recipes(batches):
     """A row for each document's chunk: where it stands and how many bytes of uint32 ids come after it; the document's root is checked."""
     for batch in batches:
-        for doc_id, n, root, sizes, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            size = np.frombuffer(sizes, "<u4").astype(np.int64)
-            parts = [keys[i : i + 16] for i in range(0, len(keys), 16)]
-            good = merkle(parts) == root and int(size.sum()) == n and len(size) == len(parts)
-            m = max(1, len(parts))
-            after = (n - np.cumsum(size)) * 4 if len(parts) else np.zeros(1, np.int64)
+        counts, roots, sizes, keys = (c.to_pylist() for c in batch.columns[1:])
+        parts, after, want, good, n_parts = [], [], [], [], []
+        for n, root, packed, joined in zip(counts, roots, sizes, keys, strict=True):
+            size = np.frombuffer(packed, "<u4").astype(np.int64)
+            own = [joined[i : i + 16] for i in range(0, len(joined), 16)]
+            good.append(merkle(own) == root and int(size.sum()) == n and len(size) == len(own))
+            n_parts.append(max(1, len(own)))
+            parts += own or [None]
+            after.append((n - np.cumsum(size)) * 4 if own else np.zeros(1, np.int64))
+            want.append(size if own else np.zeros(1, np.int64))
+        times = np.array(n_parts, np.int64)
+        if len(times):
+            of = pa.array(np.repeat(np.arange(len(times)), times))
+            place = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([doc_id] * m, pa.int64()), pa.array([root] * m, pa.binary()), pa.array(np.arange(m), pa.int64()), pa.array(parts or [None], pa.binary()), pa.array(after, pa.int64()), pa.array(size if len(parts) else [0], pa.int64()), pa.array([good] * m)],
+                [batch.column(0).take(of), batch.column(2).take(of), pa.array(place), pa.array(parts, pa.binary()), pa.array(np.concatenate(after)), pa.array(np.concatenate(want)), pa.array(np.repeat(np.array(good), times))],
                 ["doc_id", "root", "k", "digest", "after", "want", "good"],
             )
 
