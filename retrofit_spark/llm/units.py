@@ -19,7 +19,7 @@ import numpy as np
 
 from .arrowtext import SpanHash, spread
 
-MEMO_UNITS, MEMO_BYTES = 150_000, 64
+MEMO_UNITS, MEMO_BYTES = 300_000, 64
 
 
 def tokenizer_path(name: str) -> str:
