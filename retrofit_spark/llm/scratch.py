@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,6 +27,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files behind the table
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
