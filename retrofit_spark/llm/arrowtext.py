@@ -107,3 +107,17 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD) -> tu
     stops[cuts - 1] = inside[cuts - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     return starts, ends, rows_of(offsets, starts)
+
+
+def by_range(batches, key: str = "range"):
+    """(key, its rows as dicts), one key at a time; the partition must be sorted by the key."""
+    now, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and row[key] != now:
+                yield now, rows
+                rows = []
+            now = row[key]
+            rows.append(row)
+    if rows:
+        yield now, rows

@@ -24,12 +24,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import _BYTE, SpanHash, mix, text_slices
+from .arrowtext import _BYTE, SpanHash, by_range, mix, text_slices
 from .induced import repeated_windows
 from .scratch import Scratch, documents
 
 WINDOW, GRAM = 50, 16
-RANGES, RANGE_BYTES, SORT_BYTES = 64, 64 << 20, 4 << 20
+RANGES, RANGE_BYTES, SORT_BYTES = 64, 16 << 20, 4 << 20
 _LOW = np.uint64((1 << 48) - 1)
 
 _BLOCKS = "block string, doc_ids array<long>, bounds array<long>, data binary"
@@ -129,11 +129,7 @@ def _send(ranges: int):
 
 def _judge(batches):
     """For each block's entries in order: bit 0, an earlier document has the stretch whole; bit 1, its text is asked for."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            held.setdefault(r["range"], []).append(r)
-    for k, rows in held.items():
+    for k, rows in by_range(batches):
         m, d = _from_six(b"".join(r["m"] for r in rows)), _from_six(b"".join(r["d"] for r in rows))
         ids = np.concatenate([np.frombuffer(r["away"], f"<u{r['width']}").astype(np.uint64).astype(np.int64) + r["base"] for r in rows])
         sizes = np.array([len(r["m"]) // 6 for r in rows])
@@ -183,11 +179,7 @@ def _texts(ranges: int):
 
 def _sort(batches):
     """Bits of repeated windows, for each block's texts in order. Minimisers are sorted together up to SORT_BYTES of text; one of more is sorted by itself."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            held.setdefault(r["range"], []).append(r)
-    for k, rows in held.items():
+    for k, rows in by_range(batches):
         m = np.concatenate([np.frombuffer(r["m"], np.uint64) for r in rows])
         ids = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows])
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.int64) for r in rows])
@@ -261,11 +253,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = scratch.write(own.mapInArrow(_blocks, _BLOCKS), "blocks")
     size = blocks.agg(F.sum(F.element_at("bounds", -1))).head()[0] or 0
     ranges = max(RANGES, -(-size // RANGE_BYTES))
-    judged = scratch.write(blocks.mapInArrow(_send(ranges), _SENT).repartition("range").mapInArrow(_judge, "block string, range int, verdict binary"), "judged")
+    judged = scratch.write(blocks.mapInArrow(_send(ranges), _SENT).repartition("range").sortWithinPartitions("range").mapInArrow(_judge, "block string, range int, verdict binary"), "judged")
     whole = judged.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "verdict"))).alias("v"))
     whole = whole.select("block", F.aggregate("v", F.lit(b""), lambda a, v: F.concat(a, v["verdict"])).alias("verdict"))
     asked = blocks.hint("merge").join(whole.hint("merge"), "block").mapInArrow(_texts(ranges), "range int, block string, m binary, ids binary, sizes binary, text binary")
-    answered = scratch.write(asked.repartition("range").mapInArrow(_sort, "block string, range int, bits binary"), "answered")
+    answered = scratch.write(asked.repartition("range").sortWithinPartitions("range").mapInArrow(_sort, "block string, range int, bits binary"), "answered")
     answers = answered.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))
     ready = blocks.hint("merge").join(whole.hint("merge"), "block", "left").join(answers.hint("merge"), "block", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
