@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def percentage_bin(c: Column, width: int = 5) -> Column:
     """Number of the bin of a share of 0 to 1 after rounding to hundredths, halves to even; 1 is in the last bin."""
-    return F.least(F.floor(F.rint(c * 100) / width), F.lit(100 // width - 1)).cast("int")
+    return F.when(c.isNotNull(), F.least(F.floor(F.rint(c * 100) / width), F.lit(100 // width - 1))).cast("int")
 
 
 def bin_label(number: Column, width: int = 5) -> Column:

@@ -71,9 +71,9 @@ def fit_preparation(df: DataFrame, features: list[str], variance: float | None =
     """Medians; then the pipeline of min-max scaling and, if asked for, centring and PCA to a share of the variance."""
     medians = fit_medians(df, features)
     full = impute(df, medians)
-    stages = [VectorAssembler(inputCols=features, outputCol="__raw"), MinMaxScaler(inputCol="__raw", outputCol="__scaled")]
+    stages = [VectorAssembler(inputCols=features, outputCol="__raw"), MinMaxScaler(inputCol="__raw", outputCol="features" if variance is None else "__scaled")]
     if variance is None:
-        return medians, Pipeline(stages=[*stages, VectorSlicer(inputCol="__scaled", outputCol="features", indices=list(range(len(features))))]).fit(full)
+        return medians, Pipeline(stages=stages).fit(full)
     stages += [StandardScaler(inputCol="__scaled", outputCol="__centred", withMean=True, withStd=False)]
     centred = Pipeline(stages=stages).fit(full)
     pca = PCA(k=len(features), inputCol="__centred", outputCol="__all").fit(centred.transform(full))
