@@ -18,7 +18,7 @@ import tempfile
 
 import numpy as np
 
-DEPTH, PER_WORD, HELD_BYTES = 56, 7, 64 << 20
+DEPTH, PER_WORD, HELD_BYTES = 56, 7, 16 << 20
 
 
 class DiskQueue:

@@ -1,6 +1,6 @@
 """Removal of repeated substrings of documents by suffix sorting.
 
-Every window of 50 bytes is assigned to the least hash of its 16-byte substrings; consecutive windows with
+Every window of 50 bytes is assigned to the least hash of its 24-byte substrings; consecutive windows with
 one such minimiser make a stretch. Equal windows have equal minimisers, so a window can only be
 repeated within its minimiser's group, which loses nothing and lets most of the corpus out of the sort:
 
@@ -28,8 +28,8 @@ from .arrowtext import _BYTE, SpanHash, by_range, mix, text_slices
 from .induced import repeated_windows
 from .scratch import Scratch, documents
 
-WINDOW, GRAM = 50, 16
-RANGES, RANGE_BYTES, SORT_BYTES = 64, 16 << 20, 4 << 20
+WINDOW, GRAM = 50, 24
+RANGES, RANGE_BYTES, SORT_BYTES = 64, 16 << 20, 1 << 20
 _LOW = np.uint64((1 << 48) - 1)
 
 _BLOCKS = "block string, doc_ids array<long>, bounds array<long>, data binary"
@@ -73,9 +73,17 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     n, none = len(data) - WINDOW + 1, np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(np.uint64)
-    grams, span = _BYTE[data], 1
-    while span < GRAM:
+    grams, span, parts = _BYTE[data], 1, []
+    while True:  # hashes of the next 1, 2, 4 ... bytes; those that GRAM is the sum of are put together
+        if GRAM & span:
+            parts.append((span, grams))
+        if span * 2 > GRAM:
+            break
         grams, span = grams[:-span] * np.uint64(0xD6E8FEB86659FD93 + 2 * span) + grams[span:], span * 2
+    (at, grams), rest = parts[-1], parts[:-1]
+    for span, part in rest[::-1]:
+        grams = grams[: len(part) - at] * np.uint64(0xA0761D6478BD642F) + part[at : at + len(grams)]
+        at += span
     least, span, reach = mix(grams), 1, WINDOW - GRAM + 1
     while span * 2 <= reach:
         least, span = np.minimum(least[:-span], least[span:]), span * 2
