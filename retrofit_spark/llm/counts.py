@@ -92,12 +92,11 @@ def _huge(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         left = zones.select("row", "doc_id", "n_bytes", "n_tokens", "last", "tail", F.col("k").alias("join"), F.lit(True).alias("is_left"))
         right = zones.select("row", "head", (F.col("k") - 1).alias("join"))
         both = left.join(right, ["row", "join"], "left")
-        common = F.array_min(F.filter(F.col("tail"), lambda t: F.exists(F.col("head"), lambda h: h["at"] == t["at"])))
-        at = common["at"]
-        in_head = F.element_at(F.filter("head", lambda h: h["at"] == at), 1)["before"]
+        both = both.withColumn("at", F.array_min(F.array_intersect(F.col("tail.at"), F.col("head.at"))))
+        before = lambda zone: F.element_at(F.filter(zone, lambda z: z["at"] == F.col("at")), 1)["before"]
         # Tokens of the chunk up to its splice, less those of the next chunk before it.
-        part = F.when(F.col("last"), F.col("n_tokens")).otherwise(common["before"] - in_head)
-        counted = both.groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(part).alias("n_tokens"), F.count_if(~F.col("last") & at.isNull()).alias("failed"))
+        part = F.when(F.col("last"), F.col("n_tokens")).otherwise(before("tail") - before("head"))
+        counted = both.groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(part).alias("n_tokens"), F.count_if(~F.col("last") & F.col("at").isNull()).alias("failed"))
         counted = scratch.write(counted, f"counted{step}")
         good = counted.where("failed = 0").select("doc_id", "n_bytes", "n_tokens")
         done = good if done is None else done.unionByName(good)
