@@ -93,7 +93,7 @@ def _huge(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
         right = zones.select("row", "head", (F.col("k") - 1).alias("join"))
         both = left.join(right, ["row", "join"], "left")
         both = both.withColumn("at", F.array_min(F.array_intersect(F.col("tail.at"), F.col("head.at"))))
-        before = lambda zone: F.element_at(F.filter(zone, lambda z: z["at"] == F.col("at")), 1)["before"]
+        before = lambda zone: F.get(F.filter(zone, lambda z: z["at"] == F.col("at")), F.lit(0))["before"]
         # Tokens of the chunk up to its splice, less those of the next chunk before it.
         part = F.when(F.col("last"), F.col("n_tokens")).otherwise(before("tail") - before("head"))
         counted = both.groupBy("row", "doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(part).alias("n_tokens"), F.count_if(~F.col("last") & F.col("at").isNull()).alias("failed"))
