@@ -19,7 +19,7 @@ from .arrowtext import SpanHash, mix, text_slices, words
 from .scratch import documents
 
 DIMENSIONS, BUCKETS, NONZERO, REACH, HIDDEN = 32, 1 << 14, 4, 2, 32
-#: The classifier is fitted on so many labelled rows at most, the least by a hash of their doc_id.
+#: The classifier is fitted on so many labelled rows at most, those below a threshold of a hash of their doc_id.
 SAMPLE_ROWS = 20_000
 BLOCK = 512
 
@@ -199,7 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from labelled rows outside the held-out fold, `sample_rows` of them at most. Null labels, and labels without a document, don't count."""
     spark = docs.sparkSession
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where((fold("doc_id", folds) != held_fold) & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    share = min(1.0, sample_rows / max(1, known.count()))
+    if share < 1:  # by a threshold of the hash, so that no task sends more than its part
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(950_000 * share)).limit(sample_rows)
     rows = known.collect()  # sample_rows at most
     if len({r.label for r in rows}) < 2:
         return QualityModel(None, None, float(rows[0].label) if rows else 0.5)
