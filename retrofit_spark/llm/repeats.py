@@ -29,7 +29,7 @@ from .induced import repeated_windows
 from .scratch import Scratch, documents
 
 WINDOW, GRAM = 50, 24
-RANGES, RANGE_BYTES, SORT_BYTES = 64, 16 << 20, 1 << 20
+RANGES, RANGE_BYTES, SORT_BYTES = 128, 8 << 20, 1 << 20
 _LOW = np.uint64((1 << 48) - 1)
 
 _BLOCKS = "block string, doc_ids array<long>, bounds array<long>, data binary"
@@ -261,11 +261,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = scratch.write(own.mapInArrow(_blocks, _BLOCKS), "blocks")
     size = blocks.agg(F.sum(F.element_at("bounds", -1))).head()[0] or 0
     ranges = max(RANGES, -(-size // RANGE_BYTES))
-    judged = scratch.write(blocks.mapInArrow(_send(ranges), _SENT).repartition("range").sortWithinPartitions("range").mapInArrow(_judge, "block string, range int, verdict binary"), "judged")
+    judged = scratch.write(blocks.mapInArrow(_send(ranges), _SENT).repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_judge, "block string, range int, verdict binary"), "judged")
     whole = judged.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("range", "verdict"))).alias("v"))
     whole = whole.select("block", F.aggregate("v", F.lit(b""), lambda a, v: F.concat(a, v["verdict"])).alias("verdict"))
     asked = blocks.hint("merge").join(whole.hint("merge"), "block").mapInArrow(_texts(ranges), "range int, block string, m binary, ids binary, sizes binary, text binary")
-    answered = scratch.write(asked.repartition("range").sortWithinPartitions("range").mapInArrow(_sort, "block string, range int, bits binary"), "answered")
+    answered = scratch.write(asked.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(_sort, "block string, range int, bits binary"), "answered")
     answers = answered.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("answers"))
     ready = blocks.hint("merge").join(whole.hint("merge"), "block", "left").join(answers.hint("merge"), "block", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
