@@ -113,10 +113,13 @@ def by_range(batches, key: str = "range"):
     """(key, its rows as dicts), one key at a time; the partition must be sorted by the key."""
     now, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        names = batch.schema.names
+        for k in range(batch.num_rows):
+            row = {name: column[k].as_py() for name, column in zip(names, batch.columns, strict=True)}
             if rows and row[key] != now:
                 yield now, rows
                 rows = []
+                pa.default_memory_pool().release_unused()
             now = row[key]
             rows.append(row)
     if rows:

@@ -29,7 +29,7 @@ from .induced import repeated_windows
 from .scratch import Scratch, documents
 
 WINDOW, GRAM = 50, 24
-RANGES, RANGE_BYTES, SORT_BYTES = 128, 8 << 20, 1 << 20
+RANGES, RANGE_BYTES, SORT_BYTES, BLOCK_BYTES = 128, 8 << 20, 1 << 20, 1 << 20
 _LOW = np.uint64((1 << 48) - 1)
 
 _BLOCKS = "block string, doc_ids array<long>, bounds array<long>, data binary"
@@ -40,7 +40,7 @@ def _blocks(batches):
     from pyspark import TaskContext
 
     part, packer = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
-    for n, (rows, data, offsets) in enumerate(text_slices(batches)):
+    for n, (rows, data, offsets) in enumerate(text_slices(batches, limit=BLOCK_BYTES)):
         yield pa.RecordBatch.from_pylist([{"block": f"{part}-{n}", "doc_ids": rows.column(0).to_pylist(), "bounds": offsets.tolist(), "data": packer.compress(data.tobytes())}], schema=BLOCK_SCHEMA)
 
 
