@@ -11,8 +11,13 @@ Thirty bands of five samples make documents candidates; a pair of similarity 0.8
 probability 0.99999. Texts with the same shingles are one node. In a band's bucket nodes aren't
 paired with each other but with pivots: first the node that meets most others, then, in buckets
 that still hold several components, the members of small buckets with each other, and in large
-buckets further pivots, new ones each round, until a round joins nothing. Every candidate link is
-verified by the weighted Jaccard similarity of the two texts' shingles. Classes are the connected components.
+buckets further pivots, new ones each round, until a round joins nothing. Pivots only save work: nodes of
+large buckets that hold several components even then meet by an exact prefix filter. With shingles in one
+order, rare ones first, two texts of the threshold's similarity share one of those that come before the
+last THRESHOLD of each one's weight; nodes of different components that share such a shingle, and whose weights
+from there on allow the similarity, are pairs. A shingle's list of more than LIST nodes is dealt into blocks,
+and every two blocks meet. Every candidate link is verified by the weighted Jaccard similarity of the two
+texts' shingles. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
 CELLS, SHARE, SPAN = 1 << 20, 1e-3, 0.1
 SMALL, PIVOTS, ROUNDS = 24, 2, 12
+LIST, REACHED = 4096, THRESHOLD - 1e-4
 BLOCK = 1 << 14
 
 _rng = np.random.default_rng(424242)
@@ -85,19 +91,27 @@ def _sketch(batches):
     for rows, data, offsets in text_slices(batches):
         cells += np.bincount(_cell(shingles(data, offsets)[1]), minlength=CELLS)
         docs += rows.num_rows
+    yield from _cell_blocks(cells, docs)
+
+
+def _cell_blocks(cells: np.ndarray, docs: int):
     if docs:
         for k in range(0, CELLS, BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([docs], pa.int64()), pa.array([cells[k : k + BLOCK].astype(np.uint32).tobytes()], pa.binary())], ["block", "docs", "cells"])
 
 
-def _sum_cells(batches):
+def _summed(batches) -> dict[int, list]:
     total: dict[int, list] = {}
     for batch in batches:
         for k, docs, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = total.setdefault(k, [0, 0])
             own[0] += docs
             own[1] = own[1] + np.frombuffer(cells, np.uint32).astype(np.int64)
-    for k, (docs, cells) in total.items():
+    return total
+
+
+def _sum_cells(batches):
+    for k, (docs, cells) in _summed(batches).items():
         factor = 1 - SPAN + SPAN * np.clip(np.log(np.maximum(cells, 1) / docs) / np.log(SHARE), 0, 1)
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([factor.astype(np.float32).tobytes()], pa.binary())], ["block", "factors"])
 
@@ -189,6 +203,127 @@ def _verify(shared):
     return run
 
 
+def _open_sketch(batches):
+    """The sketch of _sketch over vectors."""
+    cells, docs = np.zeros(CELLS, np.int64), 0
+    for batch in batches:
+        for vector in batch.column(0).to_pylist():
+            np.add.at(cells, _unpack(vector)[0] & np.uint32(CELLS - 1), 1)
+        docs += batch.num_rows
+    yield from _cell_blocks(cells, docs)
+
+
+def _sum_counts(batches):
+    for k, (_, cells) in _summed(batches).items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cells.tobytes()], pa.binary())], ["block", "counts"])
+
+
+def prefix(vector: bytes, factors: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Shingles of a vector of which it shares one with any that is similar enough, the weight from each on, and the whole weight.
+
+    Shingles are in the order of their cells' counts; those alone in their cell are left out.
+    """
+    hashes, n = _unpack(vector)
+    cells = hashes & np.uint32(CELLS - 1)
+    order = np.lexsort((hashes, counts[cells]))
+    rest = np.cumsum((factors[cells].astype(np.float64) * n)[order][::-1])[::-1]
+    kept = np.flatnonzero((rest >= REACHED * rest[:1]) & (counts[cells][order] > 1))
+    return hashes[order][kept], rest[kept], float(rest[0]) if len(rest) else 0.0
+
+
+def _prefixes(shared, shared_counts):
+    def run(batches):
+        factors, counts = shared.value, shared_counts.value
+        for batch in batches:
+            found = [prefix(v, factors, counts) for v in batch.column(2).to_pylist()]
+            if not found:
+                continue
+            at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            tokens, rest = (np.concatenate([f[k] for f in found]) for k in range(2))
+            whole = np.array([f[2] for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(whole[at]), pa.array(rest)], ["token", "node", "label", "whole", "rest"])
+
+    return run
+
+
+def _unbroken(batches, keys: list[str]):
+    """Batches that don't divide a run of equal keys."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        values = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy().astype(np.int64) for k in keys])
+        cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        if last:
+            yield batch.slice(0, last), np.concatenate(([0], cuts))
+        held = batch.slice(last)
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _meet(batches):
+    """(a, b) of different labels of each cell of two blocks (low, high) of a shingle's list."""
+    for batch, edges in _unbroken(batches, ["token", "low", "high"]):
+        column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        label = column["label"].dictionary_encode().indices.to_numpy()
+        low, high, own, whole, rest = (column[k].to_numpy() for k in ("low", "high", "own", "whole", "rest"))
+        left, right, held = [], [], 0
+
+        def pairs(left=left, right=right, column=column):
+            x, y = (column["node"].take(pa.array(np.concatenate(side))) for side in (left, right))
+            left.clear(), right.clear()
+            return pa.RecordBatch.from_arrays([x, y], ["x", "y"])
+
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if (label[a:z] == label[a]).all():
+                continue
+            same = low[a] == high[a]
+            for x in range(a, z):
+                if not same and own[x] != low[a]:
+                    continue
+                first = x + 1 if same else a
+                fits = (label[first:z] != label[x]) & (np.minimum(rest[first:z], rest[x]) >= REACHED * np.maximum(whole[first:z], whole[x]))
+                if not same:
+                    fits &= own[first:z] == high[a]
+                y = first + np.flatnonzero(fits)
+                if len(y):
+                    left.append(np.full(len(y), x))
+                    right.append(y)
+                    held += len(y)
+                    if held > 1 << 16:
+                        held = 0
+                        yield pairs()
+        if left:
+            yield pairs()
+
+
+def prefix_pairs(members: DataFrame, vectors: DataFrame, shared, scratch: Scratch) -> DataFrame | None:
+    """(a, b) of different components that large buckets may still have to join; nothing where each bucket is one component. `members` has bucket, size, node, label."""
+    spark = members.sparkSession
+    large = members.where(F.col("size") > SMALL)
+    several = large.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
+    nodes = large.join(several.hint("merge"), "bucket", "left_semi").select("node", "label").distinct()
+    nodes = scratch.write(nodes.join(vectors.hint("merge"), "node").select("node", "label", "vector"), "open")
+    counts = np.zeros(CELLS, np.int64)
+    sums = nodes.select("vector").mapInArrow(_open_sketch, "block int, docs long, cells binary").repartition("block").mapInArrow(_sum_counts, "block int, counts binary")
+    found = sums.collect()  # CELLS counts
+    if not found:
+        return None
+    for r in found:
+        counts[r.block : r.block + BLOCK] = np.frombuffer(r.counts, np.int64)
+    shared_counts = spark.sparkContext.broadcast(counts)
+    rows = scratch.write(nodes.mapInArrow(_prefixes(shared, shared_counts), "token long, node binary, label binary, whole double, rest double"), "prefixes")
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    dealt = rows.join(lists.select("token", F.ceil(F.col("n") / LIST).alias("blocks")).hint("merge"), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "whole", "rest")
+    met = cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_meet, "x binary, y binary")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def _pairs(members: DataFrame, pivot: str) -> DataFrame:
     """(a, b) of a bucket's members with its pivots, in a fixed order; `members` has bucket, node, label and the pivot columns."""
     return members.where((F.col(f"{pivot}.node") != F.col("node")) & (F.col(f"{pivot}.label") != F.col("label"))).select(F.least("node", f"{pivot}.node").alias("a"), F.greatest("node", f"{pivot}.node").alias("b"))
@@ -222,13 +357,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         both = pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "va", "vb")
         return scratch.write(both.mapInArrow(_verify(shared), "a binary, b binary"), name)
 
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return members.withColumn("label", F.col("node"))
+        return members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
     labels = None
     links = None
     for step in range(ROUNDS):
-        if labels is None:
-            now = members.withColumn("label", F.col("node"))
-        else:
-            now = members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        now = labelled(labels)
         here = F.struct("node", "label")
         if step == 0:
             pivots = now.groupBy("bucket").agg(F.max(F.struct("degree", "node", "label")).alias("p0"))
@@ -253,6 +390,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         links = new if links is None else links.unionByName(new)
         labels = components(links, scratch, f"labels{step}")
+    pairs = prefix_pairs(labelled(labels), vectors, shared, scratch)
+    if pairs is not None:
+        new = verified(pairs, "rest")
+        if not new.isEmpty():
+            labels = components(links.unionByName(new), scratch, "labels")
     nodes = heads.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = nodes.groupBy("label").agg(F.min("head").alias("class_id"))
     rows = signed.select("doc_id", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))

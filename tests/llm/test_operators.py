@@ -293,6 +293,19 @@ def test_near_large_groups(spark):
     assert Counter(tuple(r) for r in near.near_classes(docs).collect()) == classes_by_force(list(enumerate(rows)))
 
 
+@pytest.mark.parametrize("list_size", [near.LIST, 5])
+def test_near_large_buckets_of_unlike_texts(spark, monkeypatch, list_size):
+    """Texts put together from the same paragraphs: their buckets are large, and a few pairs in them are alike."""
+    monkeypatch.setattr(near, "SMALL", 2)
+    monkeypatch.setattr(near, "LIST", list_size)
+    rnd = random.Random(21)
+    parts = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(9)) for _ in range(24)]
+    rows = [(k, " ".join(parts[p] for p in sorted(rnd.sample(range(24), 19)))) for k in range(70)]
+    want = classes_by_force(rows)
+    assert 5 < sum(r[2] > 1 for r in want) < 65
+    assert Counter(tuple(r) for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
 def test_weighted_samples_agree_as_often_as_weights_overlap():
     """The chance that two rows share a sample is their weighted Jaccard similarity."""
     rnd = np.random.default_rng(4)
