@@ -163,6 +163,12 @@ def _signatures(shared):
     return run
 
 
+def _pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    """The width of the counts, hashes, counts in as few bytes as the largest needs."""
+    width = next(w for w in (1, 2, 4) if not len(counts) or int(counts.max()) < 1 << (8 * w))
+    return bytes([width]) + hashes.tobytes() + counts.astype(f"<u{width}").tobytes()
+
+
 def _vectors(batches):
     """node, its shingles' upper hash bits (they name the cell too) and counts."""
     for part, data, offsets in text_slices(batches):
@@ -172,8 +178,7 @@ def _vectors(batches):
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             order = np.argsort(short[a:b], kind="stable")
-            few = np.minimum(counts[a:b][order], 65535).astype(np.uint16)
-            out.append(short[a:b][order].tobytes() + few.tobytes())
+            out.append(_pack(short[a:b][order], counts[a:b][order]))
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["node", "vector"])
 
 
@@ -188,8 +193,9 @@ def weighted_jaccard(a: bytes, b: bytes, factors: np.ndarray) -> float:
 
 
 def _unpack(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(vector) // 6
-    return np.frombuffer(vector, np.uint32, n), np.frombuffer(vector, np.uint16, n, 4 * n)
+    width = vector[0]
+    n = (len(vector) - 1) // (4 + width)
+    return np.frombuffer(vector, np.uint32, n, 1), np.frombuffer(vector, f"<u{width}", n, 1 + 4 * n)
 
 
 def _verify(shared):

@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from retrofit_spark.llm import bpe, counts, decontaminate, exact, induced, keeping, lm, near, quality, repeats, secrets, store, units
@@ -306,6 +307,16 @@ def test_near_large_buckets_of_unlike_texts(spark, monkeypatch, list_size):
     assert Counter(tuple(r) for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+def test_near_long_repetitions():
+    """Counts beyond 16 bits keep their ratio."""
+    factors, vectors = np.ones(near.CELLS, np.float32), []
+    for n in (70_000, 140_000):
+        text = ("of " * n).encode()
+        rows = pa.RecordBatch.from_arrays([pa.array([b"node"]), pa.array([text.decode()])], ["node", "text"])
+        vectors.append(next(near._vectors([rows])).column("vector")[0].as_py())
+    assert near.weighted_jaccard(*vectors, factors) == pytest.approx(0.5, abs=1e-3)
+
+
 def test_weighted_samples_agree_as_often_as_weights_overlap():
     """The chance that two rows share a sample is their weighted Jaccard similarity."""
     rnd = np.random.default_rng(4)
