@@ -139,7 +139,7 @@ def samples(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, k: int, s
 
 
 def _signatures(shared):
-    """doc_id, node (a digest of the shingles with their counts; of the text where it has no words), bands."""
+    """doc_id, key, node (a digest of the shingles with their counts; of the text where it has no words), bands."""
 
     def run(batches):
         factors = shared.value
@@ -158,7 +158,7 @@ def _signatures(shared):
             lists = [None] * part.num_rows
             for i, a, b, own in zip(some.tolist(), starts.tolist(), ends.tolist(), bands.view(np.int64), strict=True):
                 nodes[i], lists[i] = hashlib.blake2b(packed[a:b].tobytes(), digest_size=16, person=b"shingles").digest(), own
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "node", "bands"])
 
     return run
 
@@ -343,16 +343,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     scratch, own = Scratch(spark), documents(docs, id_col, text_col)
+    own = own.withColumn("key", F.xxhash64("text"))  # rows that share a doc_id, or have none, are told apart by it
     shared = spark.sparkContext.broadcast(shingle_factors(own))
-    signed = scratch.write(own.mapInArrow(_signatures(shared), "doc_id long, node binary, bands array<long>"), "signed")
-    heads = signed.groupBy("node").agg(F.min("doc_id").alias("head"))
+    signed = scratch.write(own.mapInArrow(_signatures(shared), "doc_id long, key long, node binary, bands array<long>"), "signed")
+    heads = signed.groupBy("node").agg(F.min("doc_id").alias("head"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("at"))
     bands = signed.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket")).distinct()
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     bands = scratch.write(bands.hint("merge").join(buckets.hint("merge"), "bucket"), "bands")
     # The texts that meet any other, once each; all rounds verify against these.
     meeting = bands.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
     meeting = scratch.write(meeting.join(heads, "node"), "meeting")
-    texts = own.hint("merge").join(meeting.select("node", F.col("head").alias("doc_id")).hint("merge"), "doc_id").select("node", "text")
+    at = meeting.select("node", F.col("at.doc_id").alias("at_id"), F.col("at.key").alias("at_key"))
+    texts = own.hint("merge").join(at.hint("merge"), own["doc_id"].eqNullSafe(at["at_id"]) & (own["key"] == at["at_key"])).select("node", "text")
     vectors = scratch.write(texts.mapInArrow(_vectors, "node binary, vector binary").dropDuplicates(["node"]), "vectors")
     members = scratch.write(bands.join(meeting.select("node", "degree"), "node"), "members")
     scratch.drop("bands")

@@ -7,7 +7,7 @@ repeated within its minimiser's group, which loses nothing and lets most of the
 1. Blocks of text send their distinct stretches (minimiser, digest, least doc_id) to the minimiser's range.
 2. A range finds stretches that an earlier document has whole, and those that share their minimiser
    with a different stretch of an earlier document.
-3. Only the latter are sent as text, each once, and a range sorts their suffixes by external induced
+3. Only the latter are sent as text, once by each block with a row of the least doc_id, and a range sorts their suffixes by external induced
    sorting (induced.py); windows in one run of common prefixes of 50 bytes take the least doc_id of the run.
 4. Blocks turn both answers into removed bytes.
 
@@ -154,9 +154,8 @@ def _judge(batches):
         asked = (low < high)[m_of]  # some stretch of the minimiser comes from a later document
         verdict = np.zeros(len(m), np.uint8)
         whole = sid > least[group]
-        first = np.zeros(len(m), bool)
-        first[starts] = True
-        verdict[order] = whole | ((first & asked[group]).astype(np.uint8) << 1)
+        own = sid == least[group]  # in all blocks that hold rows of the least doc_id
+        verdict[order] = whole | ((own & asked[group]).astype(np.uint8) << 1)
         at = 0
         for r, n in zip(rows, sizes.tolist(), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([r["block"]]), pa.array([k], pa.int32()), pa.array([verdict[at : at + n].tobytes()], pa.binary())], ["block", "range", "verdict"])

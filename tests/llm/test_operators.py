@@ -168,6 +168,17 @@ def test_repeats(docs, nothing, monkeypatch):
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_of_rows_in_different_blocks(spark, monkeypatch):
+    """Rows of one doc_id that partly repeat an earlier document, one to a block."""
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 1)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    shared, tail, rest = (" ".join(word() for _ in range(n)) for n in (9, 60, 60))
+    rows = [(5, rest + shared), (7, shared + tail), (7, shared + tail), (7, tail + shared), (9, tail)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in got.collect()) == Counter(brute_repeats(rows))
+
+
 def test_induced_sorting(monkeypatch):
     rnd = random.Random(2)
     for held in (1 << 20, 64):  # in memory, and from disk
@@ -307,6 +318,18 @@ def test_near_large_buckets_of_unlike_texts(spark, monkeypatch, list_size):
     assert Counter(tuple(r) for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
 
 
+def test_near_rows_of_one_id(spark):
+    """Rows that share a doc_id, or have none, with different texts that each have a near copy."""
+    rnd = random.Random(10)
+    rows = []
+    for k in range(6):
+        base = [rnd.choice("abcdefghij") + str(rnd.randint(0, 10**6)) for _ in range(120)]
+        rows += [(None if k > 2 else 1, " ".join(base)), (10 + k if k < 5 else None, " ".join([*base[:60], "other", *base[61:]]))]
+    want = classes_by_force(rows)
+    assert all(r[2] == 2 for r in want)
+    assert Counter(tuple(r) for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()) == want
+
+
 def test_near_long_repetitions():
     """Counts beyond 16 bits keep their ratio."""
     factors, vectors = np.ones(near.CELLS, np.float32), []
