@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer network.
 
 Every word has a fixed sparse index vector that its hash gives. A word's vector is the sum of the index
-vectors of its neighbours over the training texts (random indexing), kept for hash buckets of words,
-so its size is a parameter. The same is learnt for word shapes (which kinds of
+vectors of its neighbours over all documents (random indexing), labelled or not, kept for hash buckets of words,
+so its size is a parameter; so are the frequencies that weigh words. Labels aren't used for either. The same is learnt for word shapes (which kinds of
 characters follow each other), which unseen words share. A document's features are its words' and
 shapes' vectors, weighted against frequent ones and averaged, and a few plain measures. The network's logits
 are divided by a temperature fitted on rows that it wasn't trained on, so that scores are probabilities.
@@ -196,7 +196,7 @@ def fold(id_col: str, folds: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 3, held_fold: int = 1, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Learn from labelled rows outside the held-out fold, `sample_rows` of them at most. Null labels, and labels without a document, don't count."""
+    """Vectors of all documents' words; a network of labelled rows outside the held-out fold, `sample_rows` of them at most. Null labels, and labels without a document, don't count."""
     spark = docs.sparkSession
     known = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label")).where((fold("doc_id", folds) != held_fold) & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = spark.createDataFrame([(r.doc_id, r.label) for r in rows], "doc_id long, label int")
     sample = documents(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").repartition(8, "doc_id").persist()
     table = np.zeros((2 * BUCKETS, DIMENSIONS + 1))
-    contexts = sample.select("text").mapInArrow(_contexts, "block int, sums binary").repartition("block").mapInArrow(_add, "block int, sums binary")
+    contexts = documents(docs, id_col, text_col).select("text").mapInArrow(_contexts, "block int, sums binary").repartition("block").mapInArrow(_add, "block int, sums binary")
     for r in contexts.collect():  # the vectors' size
         table[r.block : r.block + BLOCK] = np.frombuffer(r.sums, np.float32).reshape(-1, DIMENSIONS + 1)
     vectors = word_vectors(table.reshape(2, BUCKETS, DIMENSIONS + 1))

@@ -253,6 +253,17 @@ def test_quality_edges(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_quality_vectors_of_all_documents(spark):
+    """The corpus statistics don't depend on the rows that the network is fitted on."""
+    rnd = random.Random(13)
+    rows = [(k, " ".join(rnd.choice("abcdefghij") + rnd.choice("klmnop") for _ in range(30))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(k, k % 2) for k in range(60)]
+    all_of_them, few = (quality.fit(docs, spark.createDataFrame(x, "doc_id long, quality int")) for x in (labels, labels[:12]))
+    assert all_of_them.network is not None and few.network is not None
+    assert np.allclose(all_of_them.vectors, few.vectors)
+
+
 def classes_by_force(rows):
     sets, parent = [], list(range(len(rows)))
     for _, t in rows:
