@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .exact import exact_dedup
-from .near import near_classes
+from .near import near_rows
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -29,9 +29,10 @@ def without_exact_copies(docs: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The row with the least doc_id of each near-duplicate class; rows of one doc_id stay or go together."""
-    found = near_classes(docs)
-    return _only(docs, found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct())
+    """The first row of each near-duplicate class: that with the least doc_id, of rows that share it the one with the least hash of its text. Rows that repeat doc_id and text stay or go together."""
+    found = near_rows(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("key").eqNullSafe(F.col("class_key"))).select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    return docs.join(first.hint("merge"), docs["doc_id"].eqNullSafe(first["kept_id"]) & (F.xxhash64(docs["text"]) == first["kept_key"]), "left_semi")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -8,16 +8,18 @@ long as texts hold some hundred shingles, what falls together in a cell stays be
 which the factor begins to fall, at any number of documents.
 
 Thirty bands of five samples make documents candidates; a pair of similarity 0.8 shares a band with
-probability 0.99999. Texts with the same shingles are one node. In a band's bucket nodes aren't
-paired with each other but with pivots: first the node that meets most others, then, in buckets
-that still hold several components, the members of small buckets with each other, and in large
-buckets further pivots, new ones each round, until a round joins nothing. Pivots only save work: nodes of
-large buckets that hold several components even then meet by an exact prefix filter. With shingles in one
-order, rare ones first, two texts of the threshold's similarity share one of those that come before the
-last THRESHOLD of each one's weight; nodes of different components that share such a shingle, and whose weights
-from there on allow the similarity, are pairs. A shingle's list of more than LIST nodes is dealt into blocks,
-and every two blocks meet. Every candidate link is verified by the weighted Jaccard similarity of the two
-texts' shingles. Classes are the connected components.
+probability 0.99999. Texts with the same shingles are one node. Every two nodes that share a bucket are
+compared unless they are known to be of one component by then, without a row for each pair:
+
+1. Each node meets the pivot with which it shares most buckets; a bucket's pivot is the node that meets most others.
+2. In a bucket that still holds several components, the one with most nodes is the host and the others are guests. All
+   nodes of a guest meet all of its host, once for all buckets that the two share.
+3. Guests of a bucket meet each other.
+
+Who meets is dealt into cells of bounded size: two blocks of shingle vectors, of which one is looked up in an inverted
+index of the other. Hosts and buckets of any size are so many cells. A cell compares by the weighted Jaccard
+similarity of whole vectors and gives a link only where it joins two components. Links join components, not
+nodes, so they get fewer from step to step. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -29,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import LOWER, SpanHash, mix, text_slices, words
+from .arrowtext import LOWER, SpanHash, mix, spread, text_slices, words
 from .components import components
 from .scratch import Scratch, documents
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 30, 5
 CELLS, SHARE, SPAN = 1 << 20, 1e-3, 0.1
-SMALL, PIVOTS, ROUNDS = 24, 2, 12
-LIST, REACHED = 4096, THRESHOLD - 1e-4
 BLOCK = 1 << 14
+#: Shingles of a block of vectors that meets others in one cell; a longer vector is a block of its own.
+MEETING = 1 << 17
 
 _rng = np.random.default_rng(424242)
 _TABLE = 1 << 16
@@ -139,7 +141,7 @@ def samples(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, k: int, s
 
 
 def _signatures(shared):
-    """doc_id, key, node (a digest of the shingles with their counts; of the text where it has no words), bands."""
+    """doc_id, key, node (a digest of the shingles with their counts; of the text where it has no words), number of shingles, bands."""
 
     def run(batches):
         factors = shared.value
@@ -158,181 +160,202 @@ def _signatures(shared):
             lists = [None] * part.num_rows
             for i, a, b, own in zip(some.tolist(), starts.tolist(), ends.tolist(), bands.view(np.int64), strict=True):
                 nodes[i], lists[i] = hashlib.blake2b(packed[a:b].tobytes(), digest_size=16, person=b"shingles").digest(), own
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "node", "bands"])
+            volume = np.bincount(rows, minlength=part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array(volume, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "node", "volume", "bands"])
 
     return run
 
 
 def _pack(hashes: np.ndarray, counts: np.ndarray) -> bytes:
-    """The width of the counts, hashes, counts in as few bytes as the largest needs."""
+    """Hashes, counts in as few bytes as the largest needs, and that width."""
     width = next(w for w in (1, 2, 4) if not len(counts) or int(counts.max()) < 1 << (8 * w))
-    return bytes([width]) + hashes.tobytes() + counts.astype(f"<u{width}").tobytes()
+    return hashes.tobytes() + counts.astype(f"<u{width}").tobytes() + bytes([width])
+
+
+def _unpack(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = vector[-1]
+    n = (len(vector) - 1) // (8 + width)
+    return np.frombuffer(vector, np.uint64, n), np.frombuffer(vector, f"<u{width}", n, 8 * n)
 
 
 def _vectors(batches):
-    """node, its shingles' upper hash bits (they name the cell too) and counts."""
+    """node, its shingles' hashes and counts."""
     for part, data, offsets in text_slices(batches):
         rows, hashes, counts = shingles(data, offsets)
-        short = (hashes >> np.uint64(12)).astype(np.uint32)
-        bounds = np.searchsorted(rows, np.arange(part.num_rows + 1))
-        out = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            order = np.argsort(short[a:b], kind="stable")
-            out.append(_pack(short[a:b][order], counts[a:b][order]))
+        bounds = np.searchsorted(rows, np.arange(part.num_rows + 1)).tolist()
+        out = [_pack(hashes[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["node", "vector"])
 
 
-def weighted_jaccard(a: bytes, b: bytes, factors: np.ndarray) -> float:
-    """Sum of least over sum of largest weights of two vectors."""
-    (ha, ca), (hb, cb) = _unpack(a), _unpack(b)
-    wa, wb = factors[ha & np.uint32(CELLS - 1)] * ca, factors[hb & np.uint32(CELLS - 1)] * cb
-    _, ia, ib = np.intersect1d(ha, hb, assume_unique=False, return_indices=True)
-    least = np.minimum(wa[ia], wb[ib]).sum()
-    most = wa.sum() + wb.sum() - least
-    return float(least / most) if most > 0 else 0.0
+HOST, GUEST, BOTH = 0, 1, 2
 
 
-def _unpack(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = vector[0]
-    n = (len(vector) - 1) // (4 + width)
-    return np.frombuffer(vector, np.uint32, n, 1), np.frombuffer(vector, f"<u{width}", n, 1 + 4 * n)
+def cell_links(labels: list[bytes], sides: np.ndarray, vectors: list[bytes], factors: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Pairs of labels that near-duplicate nodes of one cell join, none that follows from the others.
 
+    Hosts meet guests; nodes that are both meet each other. Similarity is the sum of least over the sum of
+    largest weights.
+    """
+    names, component = np.unique(np.array(labels, object), return_inverse=True)
+    if len(names) < 2:
+        return []
+    parts = [_unpack(v) for v in vectors]
+    sizes = np.array([len(h) for h, _ in parts])
+    ends = np.cumsum(sizes)
+    hashes = np.concatenate([h for h, _ in parts])
+    weights = factors[_cell(hashes)].astype(np.float64) * np.concatenate([c for _, c in parts])
+    whole = np.add.reduceat(weights, ends - sizes)
+    hosts, guests = np.flatnonzero(sides != GUEST), np.flatnonzero(sides != HOST)
+    asking, listed = (hosts, guests) if len(hosts) < len(guests) else (guests, hosts)
+    of = np.repeat(np.arange(len(parts)), sizes)
+    inside = np.zeros(len(parts), bool)
+    inside[listed] = True
+    at = np.flatnonzero(inside[of])
+    at = at[np.argsort(hashes[at], kind="stable")]
+    index, owner, weight = hashes[at], of[at], weights[at]
+    links = []
+    for x in asking.tolist():
+        if (component[listed] == component[x]).all():
+            continue
+        own, mine = hashes[ends[x] - sizes[x] : ends[x]], weights[ends[x] - sizes[x] : ends[x]]
+        first = np.searchsorted(index, own, "left")
+        n = np.searchsorted(index, own, "right") - first
+        met = spread(first, n)
+        common = np.bincount(owner[met], np.minimum(weight[met], np.repeat(mine, n)), len(parts))
+        alike = np.flatnonzero(common >= (THRESHOLD - 1e-6) * (whole + whole[x] - common))
+        for y in alike[np.unique(component[alike], return_index=True)[1]].tolist():
+            if component[y] != component[x]:
+                links.append((labels[x], labels[y]))
+                component[component == component[y]] = component[x]
+    return links
+
+
+def _meet(shared):
+    """Links of all cells of a partition that is sorted by cell."""
 
-def _verify(shared):
     def run(batches):
         factors = shared.value
-        for batch in batches:
-            a, b, va, vb = (batch.column(k) for k in range(4))
-            keep = [x is not None and y is not None and weighted_jaccard(x, y, factors) >= THRESHOLD - 1e-6 for x, y in zip(va.to_pylist(), vb.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch, edges in _unbroken(batches, "cell"):
+            side, label, vector = (batch.column(batch.schema.get_field_index(k)) for k in ("side", "label", "vector"))
+            found = []
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                found += cell_links(label[a:z].to_pylist(), side[a:z].to_numpy(), vector[a:z].to_pylist(), factors)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
 
     return run
 
 
-def _open_sketch(batches):
-    """The sketch of _sketch over vectors."""
-    cells, docs = np.zeros(CELLS, np.int64), 0
+def _unbroken(batches, key: str):
+    """(batch, edges of its runs of one key) of batches that don't divide a run."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        for vector in batch.column(0).to_pylist():
-            np.add.at(cells, _unpack(vector)[0] & np.uint32(CELLS - 1), 1)
-        docs += batch.num_rows
-    yield from _cell_blocks(cells, docs)
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        last = int(cuts[-1]) if len(cuts) else 0
+        if held and held[-1].column(held[-1].schema.get_field_index(key))[-1].as_py() != keys[0]:
+            yield _one(held)
+            held = []
+        if last:
+            yield _one([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield _one(held)
 
 
-def _sum_counts(batches):
-    for k, (_, cells) in _summed(batches).items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cells.tobytes()], pa.binary())], ["block", "counts"])
+def _one(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+    batch = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    keys = batch.column(batch.schema.get_field_index("cell")).to_numpy()
+    return batch, np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 
 
-def prefix(vector: bytes, factors: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Shingles of a vector of which it shares one with any that is similar enough, the weight from each on, and the whole weight.
+def _dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members of each key in blocks: own; number of blocks of each key). `members` has key, node, label, volume."""
+    blocks = members.groupBy("key").agg(F.ceil(F.sum("volume") / MEETING).alias("blocks"))
+    return members.join(blocks.hint("merge"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks"), blocks
 
-    Shingles are in the order of their cells' counts; those alone in their cell are left out.
-    """
-    hashes, n = _unpack(vector)
-    cells = hashes & np.uint32(CELLS - 1)
-    order = np.lexsort((hashes, counts[cells]))
-    rest = np.cumsum((factors[cells].astype(np.float64) * n)[order][::-1])[::-1]
-    kept = np.flatnonzero((rest >= REACHED * rest[:1]) & (counts[cells][order] > 1))
-    return hashes[order][kept], rest[kept], float(rest[0]) if len(rest) else 0.0
 
+def star_cells(hosts: DataFrame, guests: DataFrame) -> DataFrame:
+    """cell, side, node, label: each block of a key's hosts with each block of its guests."""
+    (left, left_blocks), (right, right_blocks) = _dealt(hosts), _dealt(guests)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    cell = lambda i, j: F.xxhash64("key", i, j).alias("cell")  # noqa: E731  two keys in one cell would only meet more
+    left = left.join(right_blocks.hint("merge"), "key").select("key", "own", "node", "label", other).select(cell("own", "other"), F.lit(HOST).alias("side"), "node", "label")
+    right = right.join(left_blocks.hint("merge"), "key").select("key", "own", "node", "label", other).select(cell("other", "own"), F.lit(GUEST).alias("side"), "node", "label")
+    return left.unionByName(right)
 
-def _prefixes(shared, shared_counts):
-    def run(batches):
-        factors, counts = shared.value, shared_counts.value
-        for batch in batches:
-            found = [prefix(v, factors, counts) for v in batch.column(2).to_pylist()]
-            if not found:
-                continue
-            at = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            tokens, rest = (np.concatenate([f[k] for f in found]) for k in range(2))
-            whole = np.array([f[2] for f in found])
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(whole[at]), pa.array(rest)], ["token", "node", "label", "whole", "rest"])
 
-    return run
+def group_cells(members: DataFrame) -> DataFrame:
+    """cell, side, node, label: each block of a key's members with itself and with each other."""
+    dealt, blocks = _dealt(members)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    both = dealt.join(blocks.hint("merge"), "key").select("key", "own", "node", "label", other)
+    side = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") < F.col("other"), HOST).otherwise(GUEST).alias("side")
+    return both.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), side, "node", "label")
 
 
-def _unbroken(batches, keys: list[str]):
-    """Batches that don't divide a run of equal keys."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        values = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy().astype(np.int64) for k in keys])
-        cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        if last:
-            yield batch.slice(0, last), np.concatenate(([0], cuts))
-        held = batch.slice(last)
-    if held is not None:
-        yield held, np.array([0, held.num_rows])
-
-
-def _meet(batches):
-    """(a, b) of different labels of each cell of two blocks (low, high) of a shingle's list."""
-    for batch, edges in _unbroken(batches, ["token", "low", "high"]):
-        column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
-        label = column["label"].dictionary_encode().indices.to_numpy()
-        low, high, own, whole, rest = (column[k].to_numpy() for k in ("low", "high", "own", "whole", "rest"))
-        left, right, held = [], [], 0
-
-        def pairs(left=left, right=right, column=column):
-            x, y = (column["node"].take(pa.array(np.concatenate(side))) for side in (left, right))
-            left.clear(), right.clear()
-            return pa.RecordBatch.from_arrays([x, y], ["x", "y"])
-
-        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            if (label[a:z] == label[a]).all():
-                continue
-            same = low[a] == high[a]
-            for x in range(a, z):
-                if not same and own[x] != low[a]:
-                    continue
-                first = x + 1 if same else a
-                fits = (label[first:z] != label[x]) & (np.minimum(rest[first:z], rest[x]) >= REACHED * np.maximum(whole[first:z], whole[x]))
-                if not same:
-                    fits &= own[first:z] == high[a]
-                y = first + np.flatnonzero(fits)
-                if len(y):
-                    left.append(np.full(len(y), x))
-                    right.append(y)
-                    held += len(y)
-                    if held > 1 << 16:
-                        held = 0
-                        yield pairs()
-        if left:
-            yield pairs()
-
-
-def prefix_pairs(members: DataFrame, vectors: DataFrame, shared, scratch: Scratch) -> DataFrame | None:
-    """(a, b) of different components that large buckets may still have to join; nothing where each bucket is one component. `members` has bucket, size, node, label."""
-    spark = members.sparkSession
-    large = members.where(F.col("size") > SMALL)
-    several = large.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("bucket")
-    nodes = large.join(several.hint("merge"), "bucket", "left_semi").select("node", "label").distinct()
-    nodes = scratch.write(nodes.join(vectors.hint("merge"), "node").select("node", "label", "vector"), "open")
-    counts = np.zeros(CELLS, np.int64)
-    sums = nodes.select("vector").mapInArrow(_open_sketch, "block int, docs long, cells binary").repartition("block").mapInArrow(_sum_counts, "block int, counts binary")
-    found = sums.collect()  # CELLS counts
-    if not found:
-        return None
-    for r in found:
-        counts[r.block : r.block + BLOCK] = np.frombuffer(r.counts, np.int64)
-    shared_counts = spark.sparkContext.broadcast(counts)
-    rows = scratch.write(nodes.mapInArrow(_prefixes(shared, shared_counts), "token long, node binary, label binary, whole double, rest double"), "prefixes")
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    dealt = rows.join(lists.select("token", F.ceil(F.col("n") / LIST).alias("blocks")).hint("merge"), "token").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = dealt.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", "whole", "rest")
-    met = cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(_meet, "x binary, y binary")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _pairs(members: DataFrame, pivot: str) -> DataFrame:
-    """(a, b) of a bucket's members with its pivots, in a fixed order; `members` has bucket, node, label and the pivot columns."""
-    return members.where((F.col(f"{pivot}.node") != F.col("node")) & (F.col(f"{pivot}.label") != F.col("label"))).select(F.least("node", f"{pivot}.node").alias("a"), F.greatest("node", f"{pivot}.node").alias("b"))
+def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, key (xxhash64 of the text), class_id, class_key (doc_id and key of the class's first row), class_size."""
+    spark = docs.sparkSession
+    scratch, own = Scratch(spark), documents(docs, id_col, text_col)
+    own = own.withColumn("key", F.xxhash64("text"))  # rows that share a doc_id, or have none, are told apart by it
+    shared = spark.sparkContext.broadcast(shingle_factors(own))
+    signed = scratch.write(own.mapInArrow(_signatures(shared), "doc_id long, key long, node binary, volume long, bands array<long>"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("at")
+    nodes = signed.groupBy("node").agg(first, F.count(F.lit(1)).alias("rows"), F.first("volume").alias("volume"), F.first("bands").alias("bands"))
+    nodes = scratch.write(nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.key").alias("key"), "rows", "volume", "bands"), "nodes")
+    bands = nodes.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
+    sizes = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    degrees = bands.join(sizes.hint("merge"), "bucket").groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree")).where("degree > 0")
+    # The nodes that meet any other, their components' labels, and their vectors.
+    state = scratch.write(nodes.join(degrees.hint("merge"), "node").withColumn("label", F.col("node")).withColumn("was", F.col("node")), "state")
+    at = state.select("node", F.col("doc_id").alias("at_id"), F.col("key").alias("at_key"))
+    texts = own.hint("merge").join(at.hint("merge"), own["doc_id"].eqNullSafe(at["at_id"]) & (own["key"] == at["at_key"])).select("node", "text")
+    vectors = scratch.write(texts.mapInArrow(_vectors, "node binary, vector binary").dropDuplicates(["node"]), "vectors")
+
+    def joined(state: DataFrame, cells: DataFrame, name: str) -> DataFrame:
+        """The state after the links that the cells give."""
+        met = cells.join(vectors.hint("merge"), "node").select("cell", "side", "label", "vector")
+        links = scratch.write(met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_meet(shared), "a binary, b binary").distinct(), f"links-{name}")
+        if links.isEmpty():
+            return state.withColumn("was", F.col("label"))
+        map_ = components(links, scratch, f"labels-{name}").select(F.col("node").alias("old"), F.col("label").alias("new"))
+        after = state.join(map_.hint("merge"), state["label"] == map_["old"], "left").withColumn("was", F.col("label")).withColumn("label", F.coalesce("new", "label"))
+        return scratch.write(after.drop("old", "new"), f"state-{name}")
+
+    rows = state.select("node", "degree", "volume", F.explode("bands").alias("bucket"))
+    pivots = rows.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top"))
+    pivot = F.col("top.node")
+    shares = rows.join(pivots.hint("merge"), "bucket").groupBy("node", pivot.alias("pivot")).agg(F.count(F.lit(1)).alias("shared"), F.first("volume").alias("volume"), F.max(pivot != F.col("node")).alias("other"))
+    best = shares.where("other").groupBy("node").agg(F.max(F.struct("shared", "pivot")).alias("best"), F.first("volume").alias("volume"))
+    guests = scratch.write(best.select(F.col("best.pivot").alias("key"), "node", F.col("node").alias("label"), "volume"), "guests")
+    hosts = guests.select("key").distinct().select("key", F.col("key").alias("node"), F.col("key").alias("label"), F.lit(1).cast("long").alias("volume"))
+    state = joined(state, star_cells(hosts, guests), "pivots")
+
+    def by_bucket() -> DataFrame:
+        return state.select("node", "label", "was", "volume", F.explode("bands").alias("bucket"))
+
+    present = by_bucket().groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = present.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("host"))
+    several = scratch.write(several, "several")
+    edges = scratch.write(present.join(several.hint("merge"), "bucket").where("label != host").select(F.col("host").alias("key"), F.col("label").alias("guest")).distinct(), "edges")
+    members = state.select("node", "label", "volume")
+    hosts = members.join(edges.select("key").distinct().hint("merge"), members["label"] == F.col("key")).select("key", "node", "label", "volume")
+    guests = members.join(edges.hint("merge"), members["label"] == edges["guest"]).select("key", "node", "label", "volume")
+    state = joined(state, star_cells(hosts, guests), "hosts")
+
+    rest = by_bucket().join(several.hint("merge"), "bucket").where("was != host").select("bucket", "node", "label", "volume")
+    # Buckets whose guests are the same nodes are one group.
+    open_ = rest.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.bit_xor(F.xxhash64("node")).alias("nodes"), F.count(F.lit(1)).alias("n"))
+    open_ = scratch.write(open_.where("least < most").groupBy("nodes", "n").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
+    state = joined(state, group_cells(rest.join(open_.hint("merge"), "bucket").select(F.col("bucket").alias("key"), "node", "label", "volume")), "guests")
+
+    labelled = nodes.select("node", "doc_id", "key", "rows").join(state.select("node", "label").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    classes = labelled.groupBy("label").agg(first, F.sum("rows").alias("class_size"))
+    of_node = labelled.join(classes.hint("merge"), "label").select("node", F.col("at.doc_id").alias("class_id"), F.col("at.key").alias("class_key"), "class_size")
+    return signed.select("doc_id", "key", "node").join(of_node.hint("merge"), "node").select("doc_id", "key", "class_id", "class_key", "class_size")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,70 +364,4 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty. Texts without words are alike only where they are equal. Repeated rows are rows
     of their own in one class. Null doc_ids don't name a class unless it has no other. An empty table gives none.
     """
-    spark = docs.sparkSession
-    scratch, own = Scratch(spark), documents(docs, id_col, text_col)
-    own = own.withColumn("key", F.xxhash64("text"))  # rows that share a doc_id, or have none, are told apart by it
-    shared = spark.sparkContext.broadcast(shingle_factors(own))
-    signed = scratch.write(own.mapInArrow(_signatures(shared), "doc_id long, key long, node binary, bands array<long>"), "signed")
-    heads = signed.groupBy("node").agg(F.min("doc_id").alias("head"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("at"))
-    bands = signed.where("bands IS NOT NULL").select("node", F.explode("bands").alias("bucket")).distinct()
-    buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    bands = scratch.write(bands.hint("merge").join(buckets.hint("merge"), "bucket"), "bands")
-    # The texts that meet any other, once each; all rounds verify against these.
-    meeting = bands.groupBy("node").agg(F.sum(F.col("size") - 1).alias("degree"))
-    meeting = scratch.write(meeting.join(heads, "node"), "meeting")
-    at = meeting.select("node", F.col("at.doc_id").alias("at_id"), F.col("at.key").alias("at_key"))
-    texts = own.hint("merge").join(at.hint("merge"), own["doc_id"].eqNullSafe(at["at_id"]) & (own["key"] == at["at_key"])).select("node", "text")
-    vectors = scratch.write(texts.mapInArrow(_vectors, "node binary, vector binary").dropDuplicates(["node"]), "vectors")
-    members = scratch.write(bands.join(meeting.select("node", "degree"), "node"), "members")
-    scratch.drop("bands")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left = vectors.select(F.col("node").alias("a"), F.col("vector").alias("va"))
-        right = vectors.select(F.col("node").alias("b"), F.col("vector").alias("vb"))
-        both = pairs.distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "va", "vb")
-        return scratch.write(both.mapInArrow(_verify(shared), "a binary, b binary"), name)
-
-    def labelled(labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return members.withColumn("label", F.col("node"))
-        return members.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    labels = None
-    links = None
-    for step in range(ROUNDS):
-        now = labelled(labels)
-        here = F.struct("node", "label")
-        if step == 0:
-            pivots = now.groupBy("bucket").agg(F.max(F.struct("degree", "node", "label")).alias("p0"))
-            names = ["p0"]
-        else:
-            orders = [F.max(F.struct(F.xxhash64("node", F.lit(step * PIVOTS + k)), "node", "label")).alias(f"p{k}") for k in range(PIVOTS)]
-            pivots = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *orders).where("low < high").drop("low", "high")
-            names = [f"p{k}" for k in range(PIVOTS)]
-        met = now.join(pivots.hint("merge"), "bucket")
-        if step == 0:
-            pairs = _pairs(met, "p0")
-        else:
-            large = met.where(F.col("size") > SMALL)
-            others = F.filter(F.array(*(F.struct(F.col(f"{p}.node").alias("pn"), F.col(f"{p}.label").alias("pl")) for p in names)), lambda p: p["pl"] != F.col("label"))
-            pairs = large.select("node", F.explode(F.array_distinct(others)).alias("p")).select(F.least("node", "p.pn").alias("a"), F.greatest("node", "p.pn").alias("b"))
-            if step == 1:  # within a small bucket each node meets all others, SMALL at most
-                small = met.where(F.col("size") <= SMALL).groupBy("bucket").agg(F.collect_list(here).alias("all"))
-                first = small.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where((F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-                pairs = pairs.unionByName(first.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        new = verified(pairs, f"links{step}")
-        if step and new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        labels = components(links, scratch, f"labels{step}")
-    pairs = prefix_pairs(labelled(labels), vectors, shared, scratch)
-    if pairs is not None:
-        new = verified(pairs, "rest")
-        if not new.isEmpty():
-            labels = components(links.unionByName(new), scratch, "labels")
-    nodes = heads.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = nodes.groupBy("label").agg(F.min("head").alias("class_id"))
-    rows = signed.select("doc_id", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("class_size")).join(classes, "label")
-    return rows.join(sizes.hint("merge"), "label").select("doc_id", "class_id", "class_size")
+    return near_rows(docs, id_col, text_col).select("doc_id", "class_id", "class_size")

@@ -316,11 +316,10 @@ def test_near_large_groups(spark):
     assert Counter(tuple(r) for r in near.near_classes(docs).collect()) == classes_by_force(list(enumerate(rows)))
 
 
-@pytest.mark.parametrize("list_size", [near.LIST, 5])
-def test_near_large_buckets_of_unlike_texts(spark, monkeypatch, list_size):
-    """Texts put together from the same paragraphs: their buckets are large, and a few pairs in them are alike."""
-    monkeypatch.setattr(near, "SMALL", 2)
-    monkeypatch.setattr(near, "LIST", list_size)
+@pytest.mark.parametrize("meeting", [near.MEETING, 700])
+def test_near_large_buckets_of_unlike_texts(spark, monkeypatch, meeting):
+    """Texts put together from the same paragraphs: their buckets are large, and a few pairs in them are alike. Blocks hold all of them, or four."""
+    monkeypatch.setattr(near, "MEETING", meeting)
     rnd = random.Random(21)
     parts = [" ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(9)) for _ in range(24)]
     rows = [(k, " ".join(parts[p] for p in sorted(rnd.sample(range(24), 19)))) for k in range(70)]
@@ -341,14 +340,25 @@ def test_near_rows_of_one_id(spark):
     assert Counter(tuple(r) for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()) == want
 
 
+def test_near_group_of_thousands(spark):
+    """Each copy has its own word changed; all are one class, beside texts of their own."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(90)]
+    rows = [(k, " ".join([*base[: k % 90], word(), *base[k % 90 + 1 :]])) for k in range(5000)]
+    rows += [(k, " ".join(word() for _ in range(40))) for k in range(5000, 5200)]
+    found = Counter(r.class_size for r in near.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect())
+    assert found == {5000: 5000, 1: 200}
+
+
 def test_near_long_repetitions():
-    """Counts beyond 16 bits keep their ratio."""
-    factors, vectors = np.ones(near.CELLS, np.float32), []
-    for n in (70_000, 140_000):
-        text = ("of " * n).encode()
-        rows = pa.RecordBatch.from_arrays([pa.array([b"node"]), pa.array([text.decode()])], ["node", "text"])
+    """Counts beyond 16 bits keep their ratio: 70,000 repetitions are half of 140,000, and nearly 60,000."""
+    vectors = []
+    for n in (70_000, 140_000, 60_000):
+        rows = pa.RecordBatch.from_arrays([pa.array([b"node"]), pa.array(["of " * n])], ["node", "text"])
         vectors.append(next(near._vectors([rows])).column("vector")[0].as_py())
-    assert near.weighted_jaccard(*vectors, factors) == pytest.approx(0.5, abs=1e-3)
+    found = near.cell_links([b"a", b"b", b"c"], np.full(3, near.BOTH), vectors, np.ones(near.CELLS, np.float32))
+    assert [set(x) for x in found] == [{b"a", b"c"}]
 
 
 def test_weighted_samples_agree_as_often_as_weights_overlap():
