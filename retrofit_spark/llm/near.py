@@ -12,7 +12,7 @@ probability 0.99999. Texts with the same shingles are one node. Every two nodes
 compared unless they are known to be of one component by then, without a row for each pair:
 
 1. Each node meets the pivot with which it shares most buckets; a bucket's pivot is the node that meets most others.
-2. In a bucket that still holds several components, the one with most nodes is the host and the others are guests. All
+2. In a bucket that still holds several components, the one with most nodes anywhere is the host and the others are guests. All
    nodes of a guest meet all of its host, once for all buckets that the two share.
 3. Guests of a bucket meet each other.
 
@@ -337,8 +337,10 @@ def near_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def by_bucket() -> DataFrame:
         return state.select("node", "label", "was", "volume", F.explode("bands").alias("bucket"))
 
-    present = by_bucket().groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = present.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("host"))
+    # The host is the component with most nodes of all, so that a guest meets few hosts though it shares many buckets.
+    weight = state.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"))
+    present = by_bucket().groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).join(weight.hint("merge"), "label")
+    several = present.groupBy("bucket").agg(F.max(F.struct("nodes", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("bucket", F.col("top.label").alias("host"))
     several = scratch.write(several, "several")
     edges = scratch.write(present.join(several.hint("merge"), "bucket").where("label != host").select(F.col("host").alias("key"), F.col("label").alias("guest")).distinct(), "edges")
     members = state.select("node", "label", "volume")
