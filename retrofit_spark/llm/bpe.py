@@ -4,8 +4,9 @@ A rolling hash over 16 bytes cuts every text into chunks of about 512 bytes, so
 documents share fall into the same chunks wherever they stand. A chunk is encoded once and looked
 up from then on. What a chunk's encoding proves is its part between its first and last safe break
 (see units.py); the join between two chunks, from the last safe break of the one to the first of
-the other, is encoded again, and where a chunk has no safe break the join grows over it, until both
-of its edges agree with what stands beside it. Then the whole is exactly the library's encoding.
+the other, is encoded again, and where a chunk has no safe break the join grows over it. At a safe break the
+encodings on both sides are those of the whole text, so a join needs no second try, and the whole is exactly the
+library's encoding.
 
 Reuse reaches over all documents that one Python worker sees; the memo is bounded and cleared when
 it is full, which costs time but never changes a result. Decoding puts the tokens' bytes together,
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .arrowtext import SpanHash, spread, text_slices
 from .scratch import documents
-from .units import UnitEncoder, distinct, encoder, load, safe_breaks, tokenizer_path
+from .units import UnitEncoder, distinct, encoder, load, tokenizer_path
 
 WINDOW, MEAN_BITS, MEMO_CHUNKS = 16, 9, 30_000
 
@@ -44,8 +45,7 @@ class ChunkEncoder:
         """(ids of all rows, offsets of the rows among them)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        hashes, safe = SpanHash(data), safe_breaks(data, offsets)
-        safe = safe[safe < len(data)]
+        hashes, safe = SpanHash(data), self.units.breaks(data, offsets)
         edges = np.append(safe, len(data))
         cuts = chunk_cuts(data, hashes)
         # A cut becomes the two safe breaks around it: between them lies the join.

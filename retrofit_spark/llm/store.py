@@ -2,9 +2,11 @@
 
 The format, below one folder:
 
-  chunks/   digest (16 bytes of BLAKE2b over the ids' bytes), data: little-endian ids, one row for each distinct chunk
-  recipes/  document rows in ascending doc_id: doc_id, start, n_tokens, root, and its chunks' digests and sizes
-  manifest/ level, node, root: Merkle roots over ranges of documents, up to the single root of the corpus
+  format/              bytes of an id (2 or 4), the id that ends a document (null: none)
+  objects/kind=chunk   digest (16 bytes of BLAKE2b over the ids' bytes), data: little-endian ids, one row for each distinct chunk
+  objects/kind=document  root (as digest), doc_id, n_tokens, and its chunks' digests and sizes
+  recipes/             documents in ascending doc_id: doc_id, start, nth, n_tokens, root
+  manifest/            level, node, root: Merkle roots over ranges of documents, up to the single root of the corpus
 
 A rolling hash over eight ids ends a chunk (about 256 ids, 2048 at most), so a passage that documents
 share gives the same chunks in all of them. A document's root is the Merkle root of its digests.
@@ -27,6 +29,8 @@ from .scratch import Scratch, documents
 from .units import encoder, load, tokenizer_path
 
 WINDOW, MEAN_BITS, MOST, FANOUT = 8, 8, 2048, 1024
+#: Text encoded at once: more than elsewhere, as stretches that are met again in it cost nothing.
+ENCODED_BYTES = 4 << 20
 _MIX = np.random.default_rng(7).integers(1, 1 << 63, 1 << 17, dtype=np.uint64)
 
 
@@ -62,6 +66,7 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+_FORMAT = "id_bytes int, end_id long"
 _ROWS = "digest binary, doc_id long, n_tokens long, sizes binary, data binary"
 ROW_SCHEMA = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("sizes", pa.binary()), ("data", pa.binary())])
 
@@ -71,7 +76,7 @@ def _rows(path: str, end_id: int | None, width: str):
 
     def run(batches):
         units, given = encoder(path), set()
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=ENCODED_BYTES):
             ids, bounds = units.encode(data, offsets)
             if end_id is not None:
                 ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
@@ -127,6 +132,7 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     path = path or tokenizer_path("word_bpe_49k.json")
     width = "<u2" if load(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    spark.createDataFrame([(np.dtype(width).itemsize, end_id)], _FORMAT).write.parquet(f"{folder}/format")
     rows = documents(docs, id_col, text_col).mapInArrow(_rows(path, end_id, width), _ROWS)
     spread = F.when(F.col("n_tokens").isNull(), F.col("digest")).otherwise(F.concat("digest", F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary")))
     kind = F.when(F.col("n_tokens").isNull(), "chunk").otherwise("document")
@@ -158,6 +164,10 @@ def _running(batches):
         tokens, rows = tokens + (int(after[-1]) if len(n) else 0), rows + len(n)
 
 
+def _width(spark: SparkSession, folder: str) -> str:
+    return f"<u{spark.read.schema(_FORMAT).parquet(f'{folder}/format').head().id_bytes}"
+
+
 def _objects(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return spark.read.schema(f"{_ROWS}, kind string").parquet(f"{folder}/objects").where(F.col("kind") == kind).drop("kind")
 
@@ -246,12 +256,12 @@ def _shift(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc_shifted(crc, after).astype(np.int64)), batch.column(3)], ["key", "crc", "bad"])
 
 
-def read_summary(spark: SparkSession, folder: str, width: str = "<u2") -> DataFrame:
+def read_summary(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone; a damaged chunk, recipe or manifest raises.
 
     The ids' checksum is put together from the checksums of the chunks read, so ids needn't be moved.
     """
-    chunks = _objects(spark, folder, "chunk").select("digest", "data").mapInArrow(_read_chunks(width), "digest binary, crc long, ok boolean, size long")
+    chunks = _objects(spark, folder, "chunk").select("digest", "data").mapInArrow(_read_chunks(_width(spark, folder)), "digest binary, crc long, ok boolean, size long")
     documents_ = _objects(spark, folder, "document").select("doc_id", "n_tokens", F.col("digest").alias("root"), "sizes", F.col("data").alias("keys"))
     index = spark.read.parquet(f"{folder}/recipes")
     # Documents with one content share their checksum: one of them is put together for all.
@@ -275,8 +285,9 @@ def verify_manifest(spark: SparkSession, folder: str) -> bool:
     return True
 
 
-def read_ids(spark: SparkSession, folder: str, width: str = "<u2") -> DataFrame:
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, ids of each document, reconstructed."""
+    width = _width(spark, folder)
     chunks = _objects(spark, folder, "chunk").select("digest", "data")
     recipes = _objects(spark, folder, "document").select("doc_id", "n_tokens", F.col("digest").alias("root"), "sizes", F.col("data").alias("keys")).dropDuplicates(["root"])
     parts = recipes.mapInArrow(_read_recipes, "doc_id long, root binary, k long, digest binary, after long, want long, good boolean")
@@ -297,5 +308,3 @@ def stored_summary(docs: DataFrame, **options) -> DataFrame:
     if not verify_manifest(docs.sparkSession, f"{scratch.root}/store"):
         raise ValueError("the manifest isn't that of the recipes")
     return read_summary(docs.sparkSession, f"{scratch.root}/store")
-
-

@@ -5,7 +5,8 @@ U+00FF, or where a mark of .,;:!?) follows a letter of these: no alternative of
 splitting pattern matches across it, the pattern's only look-ahead concerns runs of white space,
 special tokens hold neither white space nor such marks, and NFC, lower-casing and white-space folding
 don't cross it. So the ids of a text are the ids of its stretches between safe breaks, one after the
-other. Stretches are told apart by hash and then compared byte by byte.
+other. Stretches are told apart by hash and then compared byte by byte. A tokenizer that splits in another way than
+the proof covers (covered()) has no safe breaks but the starts of texts: each distinct text is encoded whole.
 """
 
 from __future__ import annotations
@@ -69,6 +70,24 @@ def drops_case_and_space(tokenizer) -> bool:
     return "Lowercase" in kinds and "Replace" in kinds and first.get("behavior") == "Removed" and bool(first.get("invert"))
 
 
+#: Fixed value: the splitting pattern, beside byte-level's own, for which breaks are proven safe.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def covered(tokenizer) -> bool:
+    """Whether the proof of safe breaks holds for the tokenizer's splitting, normalising and special strings."""
+    made = json.loads(tokenizer.to_str())
+    steps = made.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers", [steps])
+    own_split = len(steps) == 1 and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space")
+    word_split = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": WORD_PATTERN} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space")
+    normal = made.get("normalizer") or {}
+    kinds = [(x.get("type"), (x.get("pattern") or {}).get("Regex")) for x in normal.get("normalizers", [normal] if normal else [])]
+    plain = all(kind in (("NFC", None), ("Lowercase", None), ("Replace", r"\s+")) for kind in kinds)
+    special = all(not (t.lstrip or t.rstrip or t.single_word) and not set(t.content) & set(" \t\n\r\v\f.,;:!?)") for t in tokenizer.get_added_tokens_decoder().values())
+    return bool((own_split or word_split) and plain and special)
+
+
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: SpanHash) -> tuple[np.ndarray, np.ndarray]:
     """(first, inverse) over spans that tile `data`: which span first has each content, and each span's content."""
     _, first, inverse = np.unique(hashes.of(starts, ends), return_index=True, return_inverse=True)
@@ -90,20 +109,24 @@ class UnitEncoder:
 
     def __init__(self, path: str):
         self.tokenizer, self.memo, self.older = load(path), {}, {}
-        self.folds = drops_case_and_space(self.tokenizer)
+        self.covered = covered(self.tokenizer)
+        self.folds = self.covered and drops_case_and_space(self.tokenizer)
+
+    def breaks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Starts of stretches that are encoded by themselves."""
+        starts = safe_breaks(data, offsets) if self.covered else np.unique(offsets[:-1])
+        return starts[starts < len(data)]
 
     def lookup(self, units: list[bytes]) -> list[bytes]:
         """The ids of each unit as uint32 bytes."""
         memo, older = self.memo, self.older
-        found = [memo.get(u) for u in units]
-        missing = []
-        for k, x in enumerate(found):
-            if x is None:
-                again = older.get(units[k])
-                if again is None:
-                    missing.append(k)
-                else:
-                    found[k] = memo[units[k]] = again
+        found, missing = list(map(memo.get, units)), []
+        for k in [k for k, x in enumerate(found) if x is None]:
+            again = older.get(units[k])
+            if again is None:
+                missing.append(k)
+            else:
+                found[k] = memo[units[k]] = again
         if missing:
             encoded = self.tokenizer.encode_batch_fast([units[k].decode() for k in missing], add_special_tokens=False)
             for k, e in zip(missing, encoded, strict=True):
@@ -116,8 +139,7 @@ class UnitEncoder:
 
     def _parts(self, data: np.ndarray, offsets: np.ndarray):
         """(ids of all distinct stretches, where each one's begin, how many, which stretch is where, starts of stretches)."""
-        starts = safe_breaks(data, offsets)
-        starts = starts[starts < len(data)]
+        starts = self.breaks(data, offsets)
         # Letters of either case and kinds of white space fold where no combining mark could tell them apart.
         if self.folds and data.max() < 0xC4 and b"<|" not in data.tobytes():
             data = _FOLDED[data]
@@ -125,7 +147,7 @@ class UnitEncoder:
         first, inverse = distinct(data, starts, ends, SpanHash(data))
         raw = data.tobytes()
         ids = self.lookup([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        sizes = np.array([len(x) for x in ids], np.int64) >> 2
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
         return np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes, sizes, inverse, starts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -134,11 +134,40 @@ def test_store_damage(spark, docs, tmp_path):
     store.write_store(docs, folder)
     rows = spark.read.parquet(f"{folder}/objects")
     rows.selectExpr("digest", "doc_id", "n_tokens", "sizes", "if(n_tokens is null, concat(substring(data, 3), x'0101'), data) AS data", "kind").write.partitionBy("kind").parquet(f"{bad}/objects")
-    spark.read.parquet(f"{folder}/recipes").write.parquet(f"{bad}/recipes")
+    for name in ("recipes", "format"):
+        spark.read.parquet(f"{folder}/{name}").write.parquet(f"{bad}/{name}")
     with pytest.raises(Exception, match="damaged"):
         store.read_summary(spark, bad).collect()
 
 
+def tokenizer_file(tmp_path, size, pattern=None):
+    """A byte-level tokenizer without training: all bytes, a few merges, and names up to `size`."""
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    vocabulary = {c: k for k, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    merges = [(".", "\u010a"), ("b", "a"), ("ba", "r"), ("!", "\u010a")]
+    vocabulary |= {a + b: len(vocabulary) + k for k, (a, b) in enumerate(merges)}
+    vocabulary |= {f"name{k}": k for k in range(len(vocabulary), size)}
+    made = Tokenizer(models.BPE(vocab=vocabulary, merges=merges))
+    split = [pre_tokenizers.Split(Regex(pattern), "isolated")] if pattern else []
+    made.pre_tokenizer = pre_tokenizers.Sequence([*split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]) if pattern else pre_tokenizers.ByteLevel(add_prefix_space=False)
+    made.save(str(tmp_path / "made.json"))
+    return str(tmp_path / "made.json"), made
+
+
+@pytest.mark.parametrize(("size", "pattern"), [(70_001, None), (400, r"[^\n]+\n?")])
+def test_other_tokenizers(spark, tmp_path, size, pattern):
+    """A vocabulary beyond 16 bits, and a pattern that the proof of safe breaks doesn't cover."""
+    path, made = tokenizer_file(tmp_path, size, pattern)
+    rows = [(k, t) for k, t in enumerate(["foo.\nbar.\nbaz!\nqux", "bar. bar", "", None, "bar.\n" * 200])]
+    want = [(k, made.encode(t or "", add_special_tokens=False).ids) for k, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, list(r.ids)) for r in bpe.encode_documents(docs, path=path).collect()) == want
+    assert sorted((r.doc_id, r.n_tokens) for r in counts.count_tokens(docs, path=path, chunk=64, overlap=8).collect()) == [(k, len(x)) for k, x in want]
+    got = sorted((r.doc_id, r.ids_crc32) for r in store.stored_summary(docs, path=path, end_id=size - 1).collect())
+    assert got == [(k, zlib.crc32(np.array([*x, size - 1], "<u4").tobytes())) for k, x in want]
+
+
 def test_crc_shift():
     rnd = np.random.default_rng(1)
     a, b = rnd.bytes(100), rnd.bytes(77)
