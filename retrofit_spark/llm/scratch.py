@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Spark then removes a query's shuffle files when the query has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: Spark removes the query's shuffle files when it has ended, and rows of many
+#: KB go to Python workers in batches of bounded size.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 class Scratch:
@@ -31,12 +32,14 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path, conf = f"{self.root}/{name}", self.spark.conf
-        before = conf.get(_CLEANUP, None)
-        conf.set(_CLEANUP, "true")
+        before = {k: conf.get(k, None) for k in _WHILE_WRITING}
         try:
+            for k, v in _WHILE_WRITING.items():
+                conf.set(k, v)
             df.write.mode("overwrite").parquet(path)
         finally:
-            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
