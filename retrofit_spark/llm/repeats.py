@@ -29,7 +29,7 @@ from .induced import repeated_windows
 from .scratch import Scratch, documents
 
 WINDOW, GRAM = 50, 24
-RANGES, RANGE_BYTES, SORT_BYTES, BLOCK_BYTES = 128, 8 << 20, 1 << 20, 1 << 19
+RANGES, RANGE_BYTES, SORT_BYTES, BLOCK_BYTES = 128, 2 << 20, 1 << 20, 1 << 19
 _LOW = np.uint64((1 << 48) - 1)
 
 _BLOCKS = "block string, doc_ids array<long>, bounds array<long>, data binary"
