@@ -39,8 +39,13 @@ def encode_ordinal(df: DataFrame, features: list[str], orders: dict | None = Non
     return df.withColumns(new)
 
 
-def categories(df: DataFrame, features: list[str]) -> dict[str, list]:
-    """Sorted distinct values of each feature, null left out, in one job. Categories are few by nature; they come to the driver as column names do."""
+def categories(df: DataFrame, features: list[str], most: int = 10_000) -> dict[str, list]:
+    """Sorted distinct values of each feature, null left out. They come to the driver as column names do; a feature with more than `most` is no category and raises."""
+    if not features:
+        return {}
+    sizes = df.agg(*(F.approx_count_distinct(F.col(f"`{f}`").cast("string")).alias(f"n{k}") for k, f in enumerate(features))).head()
+    if wide := [f for k, f in enumerate(features) if sizes[k] > most]:
+        raise ValueError(f"more than {most} values: {', '.join(wide)}")
     found = df.agg(*(F.array_sort(F.collect_set(F.col(f"`{f}`").cast("string"))).alias(f"f{k}") for k, f in enumerate(features))).head()
     return {f: found[k] for k, f in enumerate(features)}
 

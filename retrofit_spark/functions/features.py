@@ -14,17 +14,18 @@ def unique_address(address: Column, postcode: Column) -> Column:
     return F.concat(F.upper(address), F.upper(postcode))
 
 
-#: 2**64 is 1844674407 * 10**10 + 3709551616, so the 128-bit number is put together from decimals of two halves.
-_HALF = "cast(conv(substring(md5({x}), {at}, 16), 16, 10) as decimal(20,0))"
-
-
 def building_id_sql(x: str) -> str:
-    """The first 16 digits of the MD5 of a text read as a 128-bit number, as SQL text."""
-    high, low = _HALF.format(x=x, at=1), _HALF.format(x=x, at=17)
-    tail = f"({high} * 3709551616BD + {low})"
-    top = f"({high} * 1844674407BD + cast({tail} div 10000000000BD as decimal(20,0)))"
-    rest = f"cast({tail} % 10000000000BD as string)"
-    return f"cast(substring(if({top} > 0, concat(cast({top} as string), lpad({rest}, 10, '0')), {rest}), 1, 16) as bigint)"
+    """The first 16 digits of the MD5 of a text read as a 128-bit number, as SQL text.
+
+    2**64 is 1844674407 * 10**10 + 3709551616, so the number is put together from decimals of two halves. Digest, halves and
+    sums are each bound once by a lambda.
+    """
+    half = "cast(conv(substring(h, {at}, 16), 16, 10) as decimal(20,0))"
+    halves = f"transform(array(md5({x})), h -> named_struct('high', {half.format(at=1)}, 'low', {half.format(at=17)}))"
+    tails = f"transform({halves}, v -> named_struct('high', v.high, 'tail', v.high * 3709551616BD + v.low))"
+    parts = f"transform({tails}, v -> named_struct('top', v.high * 1844674407BD + cast(v.tail div 10000000000BD as decimal(20,0)), 'rest', cast(v.tail % 10000000000BD as string)))"
+    number = "if(v.top > 0, concat(cast(v.top as string), lpad(v.rest, 10, '0')), v.rest)"
+    return f"transform({parts}, v -> cast(substring({number}, 1, 16) as bigint))[0]"
 
 
 def rating_number(c: Column) -> Column:

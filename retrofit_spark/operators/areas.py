@@ -72,11 +72,14 @@ def growth(df: DataFrame, area: str, source_year: int, target_year: int, normali
     """Coverage with heat pumps of each area at two years, and its growth.
 
     One window pass over properties finds, for each, its latest row by the source year, by the target year and
-    of all (a null date is the latest); one aggregate by area counts them. Areas absent from any of the three
+    of all (a null date is the latest); one aggregate by area counts them. Null keys are no property. The
+    sentinel key is one; its rows may be many, so its three latest rows are found by an aggregate and never enter the window. Areas absent from any of the three
     snapshots are left out. The base is all properties ("total"), those of the target year ("target") or all heat pumps ("total HPs").
     """
     if normalise_by not in ("total", "target", "total HPs"):
         raise ValueError(f"base {normalise_by!r}: choose 'total', 'target' or 'total HPs'")
+    from .entries import has_key
+
     own = Window.partitionBy(key)
     d, t = F.col(date), F.col(tie)
 
@@ -85,7 +88,12 @@ def growth(df: DataFrame, area: str, source_year: int, target_year: int, normali
         return inside & F.coalesce(F.max(F.when(inside, F.struct(d, t))).over(own) == F.struct(d, t), F.lit(False))
 
     rank = F.struct(d.isNull(), F.coalesce(d, F.lit("1900-01-01").cast("date")), t)
-    flags = df.where(F.col(key).isNotNull()).select(area, installed, latest(source_year).alias("s"), latest(target_year).alias("t"), (F.max(rank).over(own) == rank).alias("a"))
+    flags = df.where(has_key(key)).select(area, installed, latest(source_year).alias("s"), latest(target_year).alias("t"), (F.max(rank).over(own) == rank).alias("a"))
+    rest = df.where(F.col(key).isNotNull() & ~has_key(key)).select(area, installed, d.alias("d"), t.alias("t"), rank.alias("rank"))
+    of_year = lambda year: F.when(F.col("d") < F.make_date(F.lit(year + 1), F.lit(1), F.lit(1)), F.struct("d", "t"))
+    for k, place in enumerate((of_year(source_year), of_year(target_year), F.col("rank"))):
+        row = rest.where(place.isNotNull()).agg(F.max_by(F.struct(area, installed), place).alias("row")).where("row IS NOT NULL")
+        flags = flags.unionByName(row.select("row.*", *(F.lit(k == n).alias(f) for n, f in enumerate("sta"))))
     hp = F.col(installed)
     counts = flags.where(F.col(area).isNotNull()).groupBy(area).agg(*(F.count_if(f).alias(f"n_{f}") for f in "sta"), *(F.count_if(F.col(f) & hp).alias(f"hp_{f}") for f in "sta"))
     base = F.col({"total": "n_a", "target": "n_t", "total HPs": "hp_a"}[normalise_by])

@@ -16,6 +16,11 @@ def up_to_year(df: DataFrame, year: int | str | None, date: str = "INSPECTION_DA
     return df.where(within if up_to else within & (F.col(date) >= F.make_date(F.lit(year), F.lit(1), F.lit(1))))
 
 
+def has_key(key: str, sentinel: str = UNKNOWN) -> Column:
+    """Whether a row has a key: neither null nor the sentinel that cleaning puts in its place."""
+    return F.col(key).isNotNull() & (F.col(key).cast("string") != sentinel)
+
+
 def pick_entry(df: DataFrame, key: str, selection: str, date: str = "INSPECTION_DATE", tie: str = "BUILDING_REFERENCE_NUMBER", null_key: str = "collapse", sentinel: str = UNKNOWN) -> DataFrame:
     """The first or latest row of each key. A null date comes after all others. Rows without a key are one key ("collapse"), or all stay ("keep").
 
@@ -23,8 +28,7 @@ def pick_entry(df: DataFrame, key: str, selection: str, date: str = "INSPECTION_
     """
     if selection not in ("first entry", "latest entry"):
         raise ValueError(f"selection {selection!r}: choose 'first entry' or 'latest entry'")
-    c = F.col(key)
-    none = c.isNull() | (c.cast("string") == sentinel)
+    none = ~has_key(key, sentinel)
     latest = selection == "latest entry"
     order = [F.col(date).desc_nulls_first(), F.col(tie).desc_nulls_first()] if latest else [F.col(date).asc_nulls_last(), F.col(tie).asc_nulls_first()]
     named = df.where(~none).withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
@@ -60,10 +64,17 @@ def first_and_last_state(df: DataFrame, key: str, state: str, date: str = "INSPE
     return dated.groupBy(key).agg(F.min_by(state, F.struct(date, tie)).alias("AT_FIRST"), F.max_by(state, F.struct(F.col(date), -F.col(tie))).alias("AT_LAST"))
 
 
-def status_changes(df: DataFrame, key: str = "UPRN", state: str = "HP_INSTALLED", date: str = "INSPECTION_DATE", tie: str = "BUILDING_REFERENCE_NUMBER", min_entries: int = 2) -> DataFrame:
-    """First rows of keys with several entries that didn't start with the state, with HP_ADDED: whether the last has it. Keys without a value don't count."""
+def status_changes(df: DataFrame, key: str = "UPRN", state: str = "HP_INSTALLED", date: str = "INSPECTION_DATE", tie: str = "BUILDING_REFERENCE_NUMBER", min_entries: int = 2, sentinel: str = UNKNOWN) -> DataFrame:
+    """First rows of keys with several entries that didn't start with the state, with HP_ADDED: whether the last has it.
+
+    Null keys don't count. The sentinel is one key; its rows may be many, so they are aggregated and never enter the window.
+    """
     own = Window.partitionBy(key)
     order = own.orderBy(F.col(date).asc_nulls_last(), F.col(tie))
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    marked = df.where(F.col(key).isNotNull()).withColumns({"__n": F.count(F.lit(1)).over(own), "__i": F.row_number().over(order), "HP_ADDED": F.last(state).over(whole)})
-    return marked.where((F.col("__n") >= min_entries) & (F.col("__i") == 1) & ~F.col(state)).drop("__n", "__i")
+    marked = df.where(has_key(key, sentinel)).withColumns({"__n": F.count(F.lit(1)).over(own), "__i": F.row_number().over(order), "HP_ADDED": F.last(state).over(whole)})
+    named = marked.where((F.col("__n") >= min_entries) & (F.col("__i") == 1) & ~F.col(state)).drop("__n", "__i")
+    place = F.struct(F.col(date).isNull(), date, tie)
+    rest = df.where(F.col(key).isNotNull() & ~has_key(key, sentinel))
+    rest = rest.agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*df.columns), place).alias("first"), F.max_by(state, place).alias("HP_ADDED"))
+    return named.unionByName(rest.where(F.col("n") >= min_entries).select("first.*", "HP_ADDED").where(~F.col(state)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .entries import has_key
+
 BEFORE, AFTER = "EPC HP entry before MCS", "No EPC HP entry after MCS"
 
 
@@ -18,9 +20,9 @@ def reconcile_install_dates(df: DataFrame, key: str = "UPRN", date: str = "INSPE
     """
     d, hp, when = F.col(date), F.col(installed), F.col(install_date)
     # Rows without a key have no history; they are spread by their tie, each a history of its own, and get nulls.
-    has_key = F.col(key).isNotNull()
-    own = Window.partitionBy(key, F.when(~has_key, F.col(tie)))
-    only = lambda c: F.when(has_key, c)
+    keyed = has_key(key)
+    own = Window.partitionBy(F.when(keyed, F.col(key)), F.when(~keyed, F.col(tie)))
+    only = lambda c: F.when(keyed, c)
     facts = df.where(d.isNotNull()).withColumns(
         {
             "FIRST_HP_MENTION": only(F.min(F.when(hp, d)).over(own)),

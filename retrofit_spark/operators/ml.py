@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import random
-from itertools import product
+from math import prod
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression, GeneralizedLinearRegressionModel, LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, sampling
@@ -21,9 +22,28 @@ REGRESSORS = ("Random Forest Regressor", "Linear Regression", "Decision Tree Reg
 
 
 def fit_medians(df: DataFrame, features: list[str]) -> dict[str, float]:
-    """Exact medians; a column without values gets 0."""
-    row = df.agg(*(F.median(f"`{f}`").alias(f"m{k}") for k, f in enumerate(features))).head()
-    return {f: float(row[k]) if row[k] is not None else 0.0 for k, f in enumerate(features)}
+    """Exact medians; a column without values gets 0.
+
+    Approximate quantiles give a bracket of about two thousandths of the rows around the middle, and the middle values are
+    picked from the bracket alone, so no aggregate holds a whole column.
+    """
+    own = {f: F.col(f"`{f}`").cast("double") for f in features}
+    near = df.agg(*(x for f in features for x in (F.count(own[f]), F.percentile_approx(own[f], [0.499, 0.501], 10_000)))).head()
+    brackets = {f: (near[2 * k], near[2 * k + 1]) for k, f in enumerate(features) if near[2 * k]}
+    if not brackets:
+        return dict.fromkeys(features, 0.0)
+    below = df.agg(*(x for f, (_, (lo, hi)) in brackets.items() for x in (F.count_if(own[f] < lo), F.count_if(own[f].between(lo, hi))))).head()
+    picks, places = [], []
+    for k, (f, (n, (lo, hi))) in enumerate(brackets.items()):
+        before, inside = below[2 * k], below[2 * k + 1]
+        first, last = (n - 1) // 2, n // 2
+        value = f"CASE WHEN `{f}` BETWEEN {lo!r}D AND {hi!r}D THEN CAST(`{f}` AS DOUBLE) END"
+        if not before <= first <= last < before + inside:  # the quantiles' error was larger than the bracket
+            value, before, inside = f"CAST(`{f}` AS DOUBLE)", 0, n
+        picks += [F.expr(f"percentile_disc({(place - before + 0.5) / inside!r}D) WITHIN GROUP (ORDER BY {value})") for place in (first, last)]
+        places.append(f)
+    row = df.agg(*picks).head()
+    return dict.fromkeys(features, 0.0) | {f: (row[2 * k] + row[2 * k + 1]) / 2 for k, f in enumerate(places)}
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -81,12 +101,28 @@ def fit_preparation(df: DataFrame, features: list[str], variance: float | None =
     return medians, PipelineModel(stages=[*centred.stages, pca, kept])
 
 
+def _linear(model) -> Column | None:
+    """The linear predictor over `features`, as a column; None for models that aren't linear.
+
+    Fitted linear models carry a training summary, and with it the session, into each task; their coefficients don't.
+    """
+    if not hasattr(model, "coefficients"):
+        return None
+    weights = F.array(*(F.lit(float(w)) for w in model.coefficients))
+    return F.aggregate(F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w), F.lit(float(model.intercept)), lambda a, x: a + x)
+
+
 def predict(df: DataFrame, model, classification: bool) -> DataFrame:
     """prediction, and "proba 0" and "proba 1" where the model gives probabilities."""
-    out = model.transform(df)
-    if "probability" in out.columns:
-        p = vector_to_array("probability")
-        out = out.withColumns({"proba 0": p[0], "proba 1": p[1]})
+    score = _linear(model)
+    if score is None:
+        out = model.transform(df)
+    elif isinstance(model, LogisticRegressionModel):
+        out = df.withColumn("proba 1", 1 / (1 + F.exp(-score))).withColumn("proba 0", 1 - F.col("proba 1")).withColumn("prediction", (F.col("proba 1") > 0.5).cast("double"))
+    elif isinstance(model, LinearSVCModel):
+        out = df.withColumn("prediction", (score > 0).cast("double"))
+    else:
+        out = df.withColumn("prediction", F.exp(score) if isinstance(model, GeneralizedLinearRegressionModel) else score)
     return out.withColumn("prediction", F.col("prediction").cast("boolean") if classification else F.col("prediction"))
 
 
@@ -105,38 +141,90 @@ def train_and_predict(df: DataFrame, target: str, features: list[str], key: str,
     return out.drop("__label", "__raw", "__scaled", "__centred", "__all", "features", "prediction", "rawPrediction", "probability")
 
 
-def cross_validate(df: DataFrame, target: str, features: list[str], key: str, model: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """fold, train_score, test_score: F1 of classes, RMSE of numbers. The preparation is fitted once, on all rows."""
-    classification = model in CLASSIFIERS
-    medians, preparation = fit_preparation(df, features)
+def evaluate_models(df: DataFrame, targets: list[str], features: list[str], key: str, models: tuple[str, ...], **options) -> tuple[DataFrame, dict[tuple[str, str], DataFrame]]:
+    """Every model on every target: (model, target, training set, its metrics as a map), and the predictions by (model, target).
+
+    Classes: accuracy, precision, recall, f1. Numbers: mse, rmse, max_error, bin_accuracy.
+    """
+    rows, found = None, {}
+    for model in models:
+        for target in targets:
+            out = found[model, target] = train_and_predict(df, target, features, key, model, **options)
+            measure = metrics.classification_metrics if model in CLASSIFIERS else metrics.regression_metrics
+            for training in (True, False):
+                own = measure(out.where(F.col("training set") == training), target, f"{target}: prediction")
+                pairs = F.create_map(*(x for c in own.columns for x in (F.lit(c), F.col(c).cast("double"))))
+                row = own.select(F.lit(model).alias("model"), F.lit(target).alias("target"), F.lit(training).alias("training set"), pairs.alias("metrics"))
+                rows = row if rows is None else rows.unionByName(row)
+    return rows, found
+
+
+def _folds(df: DataFrame, target: str, features: list[str], key: str, folds: int, seed: int):
+    """(training rows, test rows, number of training rows) of each fold, with features prepared on the training rows alone."""
     fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))
-    ready = preparation.transform(impute(df, medians)).select("features", F.col(f"`{target}`").cast("double").alias("label"), fold.alias("fold")).cache()
-    score = MulticlassClassificationEvaluator(metricName="f1") if classification else RegressionEvaluator(metricName="rmse")
-    rows, n = [], ready.count()
+    marked = df.withColumns({"__fold": fold, "label": F.col(f"`{target}`").cast("double")})
     for k in range(folds):
-        train, test = ready.where(F.col("fold") != k), ready.where(F.col("fold") == k)
-        fitted = estimator(model, "features", "label", n).fit(train)
-        rows.append((k, float(score.evaluate(fitted.transform(train))), float(score.evaluate(fitted.transform(test)))))
-    ready.unpersist()
-    return df.sparkSession.createDataFrame(rows, "fold int, train_score double, test_score double")
+        medians, preparation = fit_preparation(marked.where(F.col("__fold") != k), features)
+        ready = preparation.transform(impute(marked, medians)).select("features", "label", "__fold").cache()
+        train = ready.where(F.col("__fold") != k)
+        yield train, ready.where(F.col("__fold") == k), train.count()
+        ready.unpersist()
+
 
+def _scores(df: DataFrame, model, classification: bool) -> dict[str, float]:
+    out = predict(df, model, False)
+    names = {"accuracy": "accuracy", "precision": "precisionByLabel", "recall": "recallByLabel", "f1": "fMeasureByLabel"}
+    if classification:
+        return {n: float(MulticlassClassificationEvaluator(metricName=m, metricLabel=1.0).evaluate(out)) for n, m in names.items()}
+    row = metrics.regression_metrics(out, "label", "prediction").head()
+    return {n: float(row[n]) if row[n] is not None else 0.0 for n in ("mse", "rmse", "max_error", "bin_accuracy")}
 
-def search_parameters(df: DataFrame, target: str, features: list[str], key: str, model: str, grid: dict[str, list], draws: int = 10, folds: int = 3, seed: int = 42) -> DataFrame:
-    """params, score of randomly drawn points of a grid, best first."""
+
+def cross_validate(df: DataFrame, target: str, features: list[str], key: str, model: str, folds: int = 5, seed: int = 42, params: dict | None = None) -> DataFrame:
+    """fold, train_score, test_score (F1 of classes, RMSE of numbers) and all scores of both as maps.
+
+    Medians, scaling and PCA are fitted on each fold's training rows.
+    """
     classification = model in CLASSIFIERS
-    points = [dict(zip(grid, v, strict=True)) for v in product(*grid.values())]
-    points = random.Random(seed).sample(points, min(draws, len(points)))
-    medians, preparation = fit_preparation(df, features)
-    fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))
-    ready = preparation.transform(impute(df, medians)).select("features", F.col(f"`{target}`").cast("double").alias("label"), fold.alias("fold")).cache()
-    score = MulticlassClassificationEvaluator(metricName="f1") if classification else RegressionEvaluator(metricName="rmse")
-    rows, n = [], ready.count()
-    for point in points:
-        own = [score.evaluate(estimator(model, "features", "label", n, point).fit(ready.where(F.col("fold") != k)).transform(ready.where(F.col("fold") == k))) for k in range(folds)]
-        rows.append((str(point), float(sum(own) / folds)))
-    ready.unpersist()
+    main, rows = "f1" if classification else "rmse", []
+    for k, (train, test, n) in enumerate(_folds(df, target, features, key, folds, seed)):
+        fitted = estimator(model, "features", "label", n, params).fit(train)
+        own = [_scores(part, fitted, classification) for part in (train, test)]
+        rows.append((k, own[0][main], own[1][main], *own))
+    return df.sparkSession.createDataFrame(rows, "fold int, train_score double, test_score double, train_scores map<string,double>, test_scores map<string,double>")
+
+
+#: Points that searches draw from, in Spark's parameters; depth ends at Spark's bound of 30.
+GRIDS = {
+    "Linear Support Vector Classifier": {"regParam": [10.0**-k for k in range(6, 0, -1)], "tol": [x * 10.0**-k for k in range(5, 1, -1) for x in (1, 5)], "maxIter": [200]},
+    "Logistic Regression": {"regParam": [10.0**-k for k in range(6, 0, -1)], "elasticNetParam": [0.0, 0.5, 1.0]},
+    "Random Forest Regressor": {
+        "numTrees": [5, 10, 20, *range(25, 301, 25)], "maxDepth": [1, 3, 5, 7, 10, 20, 30], "featureSubsetStrategy": ["1", "2", "5", "10", "15", "20", "25", "auto", "sqrt"],
+        "minInstancesPerNode": [2**k for k in range(6)], "bootstrap": [False, True],
+    },
+    "Decision Tree Regressor": {"maxDepth": [10, 20, 30], "minWeightFractionPerNode": [0.05, 0.1, 0.3, 0.49]},
+    "Linear Regression": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},
+}
+
+
+def search_parameters(df: DataFrame, target: str, features: list[str], key: str, model: str, grid: dict[str, list] | None = None, draws: int = 10, folds: int = 3, seed: int = 42) -> DataFrame:
+    """params, score (mean over folds of F1 or RMSE) of randomly drawn points of a grid, best first. All points where `draws` reaches them."""
+    classification = model in CLASSIFIERS
+    grid = grid or GRIDS[model]
+    size = prod(len(v) for v in grid.values())
+    points = []
+    for at in random.Random(seed).sample(range(size), min(draws, size)):
+        point = {}
+        for name, values in grid.items():
+            at, own = divmod(at, len(values))
+            point[name] = values[own]
+        points.append(point)
+    sums = [0.0] * len(points)
+    for train, test, n in _folds(df, target, features, key, folds, seed):
+        for k, point in enumerate(points):
+            sums[k] += _scores(test, estimator(model, "features", "label", n, point).fit(train), classification)["f1" if classification else "rmse"] / folds
     order = F.col("score").desc() if classification else F.col("score").asc()
-    return df.sparkSession.createDataFrame(rows, "params string, score double").orderBy(order)
+    return df.sparkSession.createDataFrame([(str(p), s) for p, s in zip(points, sums, strict=True)], "params string, score double").orderBy(order)
 
 
 def important_coefficients(df: DataFrame, target: str, features: list[str], top: int = 10, model: str = "Logistic Regression") -> DataFrame:
@@ -161,9 +249,24 @@ def explained_variance(df: DataFrame, features: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "component int, share double, cumulative double")
 
 
+def singular_values(df: DataFrame, features: list[str], k: int = 10) -> DataFrame:
+    """component, singular value and share of the sum of squares of the first k components of the scaled, uncentred features (truncated SVD)."""
+    medians, preparation = fit_preparation(df, features, variance=None)
+    ready = preparation.transform(impute(df, medians)).select("features")
+    values = vector_to_array("features")
+    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
+    row = ready.agg(*(F.sum(values[i] * values[j]) for i, j in pairs)).head()  # the Gram matrix, one row of sums
+    gram = np.zeros((len(features), len(features)))
+    for (i, j), x in zip(pairs, row, strict=True):
+        gram[i, j] = gram[j, i] = x or 0.0
+    squares = np.maximum(np.linalg.eigvalsh(gram)[::-1], 0)
+    total = float(squares.sum()) or 1.0
+    return df.sparkSession.createDataFrame([(n, float(x) ** 0.5, float(x) / total) for n, x in enumerate(squares[:k])], "component int, singular_value double, share double")
+
+
 def poisson_rates(df: DataFrame, count: str, exposure: str, features: list[str]) -> DataFrame:
     """Expected counts of areas by a Poisson regression with log link and the exposure as offset."""
     ready = df.where(F.col(exposure) > 0).withColumns({"__offset": F.log(F.col(exposure).cast("double")), "__label": F.col(count).cast("double")})
-    ready = VectorAssembler(inputCols=features, outputCol="__features").transform(ready)
-    fitted = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="__features", labelCol="__label", offsetCol="__offset").fit(ready)
-    return fitted.transform(ready).drop("__offset", "__label", "__features").withColumnRenamed("prediction", "expected")
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(ready)
+    fitted = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features", labelCol="__label", offsetCol="__offset").fit(ready)
+    return ready.withColumn("expected", F.exp(_linear(fitted) + F.col("__offset"))).drop("__offset", "__label", "features")

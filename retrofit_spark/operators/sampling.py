@@ -31,9 +31,27 @@ def sample_with_replacement(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.sample(withReplacement=True, fraction=n / max(total, 1), seed=seed)
 
 
+def _ranked(df: DataFrame, order: Column, key: str, stratum: Column | None = None, prefix: int = 3, reach: int | None = None) -> DataFrame:
+    """Adds __i, the row's place in its stratum by hexadecimal `order` and then `key`, and __n, the stratum's rows.
+
+    Places have two levels: buckets by the first digits of `order`, and rows within a bucket, so that no window holds a
+    stratum. With `reach`, buckets that begin beyond it are left out.
+    """
+    df = df.withColumns({"__o": order, "__s": F.lit(1) if stratum is None else stratum}).withColumn("__b", F.substring("__o", 1, prefix))
+    buckets = df.groupBy(F.col("__s").alias("__t"), F.col("__b").alias("__c")).agg(F.count(F.lit(1)).alias("__m"))
+    own = Window.partitionBy("__t")  # at most 16 ** prefix rows
+    start = F.coalesce(F.sum("__m").over(own.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = buckets.select("__t", "__c", start.alias("__start"), F.sum("__m").over(own).alias("__n"))
+    if reach is not None:
+        buckets = buckets.where(F.col("__start") < reach)
+    placed = df.join(buckets, F.col("__s").eqNullSafe(F.col("__t")) & (F.col("__b") == F.col("__c")))
+    inside = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__o", key))
+    return placed.withColumn("__i", F.col("__start") + inside).drop("__o", "__s", "__b", "__t", "__c", "__start")
+
+
 def lowest(df: DataFrame, order: Column, n: int, key: str) -> DataFrame:
-    """The n rows of least `order`: the threshold is found by a top-n of hashes, rows beyond it are filtered."""
-    return df.withColumn("__o", order).orderBy("__o", key).limit(n).drop("__o")
+    """The n rows of least hexadecimal `order`, ties by `key`: only the bucket that crosses n is cut."""
+    return _ranked(df, order, key, reach=n).where(F.col("__i") <= n).drop("__i", "__n")
 
 
 def balance(df: DataFrame, target: str, key: str, false_ratio: float = 0.8, binary: bool = True, seed: int = 42) -> DataFrame:
@@ -46,10 +64,8 @@ def balance(df: DataFrame, target: str, key: str, false_ratio: float = 0.8, bina
 
 def split(df: DataFrame, key: str, test_share: float = 0.1, stratify: str | None = None, seed: int = 42, name: str = "training set") -> DataFrame:
     """A flag per row: false for the share of rows, in each stratum, that is least by seeded hash."""
-    strata = [F.col(stratify)] if stratify else [F.lit(1)]
-    own = Window.partitionBy(*strata)
-    n, i = F.count(F.lit(1)).over(own), F.row_number().over(own.orderBy(seeded(F.col(key), seed), key))
-    return df.withColumn(name, i > F.ceil(n * test_share))
+    ranked = _ranked(df, seeded(F.col(key), seed), key, F.col(stratify) if stratify else None)
+    return ranked.withColumn(name, F.col("__i") > F.ceil(F.col("__n") * test_share)).drop("__i", "__n")
 
 
 def split_by_hash(df: DataFrame, key: str, test_share: float = 0.1, seed: int = 42, name: str = "training set") -> DataFrame:

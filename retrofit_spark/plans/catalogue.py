@@ -314,7 +314,7 @@ def union_countries(spark, d):
 # ---------------------------------------------------------------- installations
 
 _DATED = f"""{_REGISTER},
-dated AS (SELECT brn, uprn, inspection_date, hp AND coalesce(uprn % 3 = 0, false) AS hp, install_date FROM base LEFT JOIN r ON {_KEY} = k WHERE inspection_date IS NOT NULL),
+dated AS (SELECT brn, uprn, inspection_date, hp, install_date FROM base LEFT JOIN r ON {_KEY} = k WHERE inspection_date IS NOT NULL),
 facts AS (SELECT *, CASE WHEN uprn IS NOT NULL THEN min(CASE WHEN hp THEN inspection_date END) OVER w END AS mention,
   CASE WHEN uprn IS NOT NULL THEN first_value(hp) OVER (PARTITION BY uprn ORDER BY inspection_date, brn) END AS hp_first,
   CASE WHEN uprn IS NOT NULL THEN first_value(hp) OVER (PARTITION BY uprn ORDER BY inspection_date DESC, brn) END AS hp_last,
@@ -324,8 +324,7 @@ flags AS (SELECT *, mcs AND hp AND before AS flag_before, mcs AND NOT hp AND NOT
 
 
 def _dated(spark, d) -> DataFrame:
-    df = base(spark, d).withColumn("hp", c("hp") & F.coalesce(c("uprn") % 3 == 0, F.lit(False)))
-    return _register(df, spark, d).select("brn", "uprn", "inspection_date", "hp", c("HP_INSTALL_DATE").alias("install_date"))
+    return _register(base(spark, d), spark, d).select("brn", "uprn", "inspection_date", "hp", c("HP_INSTALL_DATE").alias("install_date"))
 
 
 @query(f"""WITH {_DATED}
@@ -533,12 +532,12 @@ def complete_area_sample(spark, d):
 
 _BALANCED = """b AS (SELECT brn, pump FROM (SELECT brn, pump, row_number() OVER (PARTITION BY pump ORDER BY md5(CAST(brn AS VARCHAR) || '42'), brn) AS i, count_if(pump) OVER () AS yes FROM {rows}) q
   WHERE pump OR i <= CAST(trunc(yes * (0.8::DOUBLE / (1 - 0.8::DOUBLE))) AS BIGINT))"""
-_PUMPS = "(SELECT brn, {hp} AND brn % 11 = 0 AS pump FROM {src} z)"
+_PUMPS = "(SELECT brn, {hp} AS pump FROM {src} z)"
 
 
 @query("WITH " + _BALANCED.format(rows=_PUMPS.format(hp="hp", src="base")) + " SELECT brn, pump FROM b", "base")
 def balance_set(spark, d):
-    return sampling.balance(base(spark, d).select("brn", (c("hp") & (c("brn") % 11 == 0)).alias("pump")), "pump", "brn")
+    return sampling.balance(base(spark, d).select("brn", c("hp").alias("pump")), "pump", "brn")
 
 
 @query("SELECT brn, hp, i > ceil(n * 0.1) AS training FROM (SELECT brn, hp, count(*) OVER (PARTITION BY hp) AS n, row_number() OVER (PARTITION BY hp ORDER BY md5(CAST(brn AS VARCHAR) || '42'), brn) AS i FROM base) q", "base")
@@ -548,7 +547,7 @@ def train_test_split(spark, d):
 
 @query("WITH l AS (" + _picked("inspection_date DESC NULLS FIRST, brn DESC") + "), " + _BALANCED.format(rows=_PUMPS.format(hp="hp", src="l")) + " SELECT brn, pump FROM b", "base")
 def labelled_current_status(spark, d):
-    df = base(spark, d).withColumn("HP_INSTALLED", c("hp") & (c("brn") % 11 == 0))
+    df = base(spark, d).withColumn("HP_INSTALLED", c("hp"))
     rows, targets = jobs.labelled(df, "Current HP Status", key="uprn", tie="brn", balanced=True)
     return rows.select("brn", c(targets[0]).alias("pump"))
 
@@ -756,7 +755,7 @@ def svm_status(spark, d):
 
 @query()
 def forest_growth(spark, d):
-    return ml.train_and_predict(_area_rows(spark, d), "share", _MODEL_FEATURES, "sector", "Random Forest Regressor", params={"numTrees": 40})
+    return ml.train_and_predict(_area_rows(spark, d), "share", _MODEL_FEATURES, "sector", "Random Forest Regressor")
 
 
 @query()
@@ -766,7 +765,18 @@ def cv_scores(spark, d):
 
 @query()
 def param_search(spark, d):
-    return ml.search_parameters(_area_rows(spark, d), "share", _MODEL_FEATURES, "sector", "Linear Regression", {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}, draws=3)
+    return ml.search_parameters(_area_rows(spark, d), "share", _MODEL_FEATURES, "sector", "Linear Regression")
+
+
+@query()
+def model_scores(spark, d):
+    """Metrics of both classifiers of heat pumps on training and test rows."""
+    return ml.evaluate_models(_model_rows(spark, d), ["hp"], _MODEL_FEATURES, "brn", ml.CLASSIFIERS)[0]
+
+
+@query()
+def truncated_svd(spark, d):
+    return ml.singular_values(_model_rows(spark, d), _MODEL_FEATURES)
 
 
 @query()

@@ -127,5 +127,5 @@ def load_samples(spark: SparkSession, root: str, subset: str, build, preload: bo
 
 
 def write_predictions(df: DataFrame, root: str, model: str) -> None:
-    """Predictions of one model, beside those of others."""
-    df.withColumn("model", F.lit(model)).write.mode("append").partitionBy("model").parquet(f"{root.rstrip('/')}/predictions")
+    """Predictions of one model, beside those of others; they take the place of its earlier ones."""
+    df.withColumn("model", F.lit(model)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(f"{root.rstrip('/')}/predictions")

@@ -1,8 +1,11 @@
 import datetime as dt
+import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from retrofit_spark.functions import encode
 from retrofit_spark.operators import areas, entries, grid, installs, joins, metrics, ml, profile, sampling
 from retrofit_spark.plans import jobs
 
@@ -131,6 +134,86 @@ def test_models(spark):
         ml.estimator("Oracle", "features", "label", 1)
 
 
+def test_models_after_an_observation(spark):
+    """An observed stage leaves a manager in the session that can't be sent to tasks; models must not carry the session."""
+    df = spark.range(300).select("id", F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("y", F.col("a") > 0.5).withColumn("z", F.col("a") * 2)
+    out, watch = profile.observed(df, "stage")
+    out.collect()
+    assert watch.get == {"rows": 300}
+    for model, target in (("Logistic Regression", "y"), ("Linear Support Vector Classifier", "y"), ("Linear Regression", "z"), ("Poisson Regression", "z"), ("Decision Tree Regressor", "z")):
+        found = ml.train_and_predict(df, target, ["a", "b"], "id", model, variance=None)
+        assert found.where(F.col(f"{target}: error").cast("double") > 0.5).count() < 30, model
+
+
+def test_linear_regression_solves_the_normal_equations(spark):
+    rows = [(k, float(k % 7), float(k % 5), 3.0 * (k % 7) - 2.0 * (k % 5) + 1 + 0.1 * ((k * 13) % 11)) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    out = ml.train_and_predict(df, "y", ["a", "b"], "id", "Linear Regression", variance=None, fit_on="train").collect()
+    x = np.array([[1, r.a, r.b] for r in out if r["training set"]])
+    w = np.linalg.lstsq(x, np.array([r.y for r in out if r["training set"]]), rcond=None)[0]
+    assert all(abs(r["y: prediction"] - (w[0] + w[1] * r.a + w[2] * r.b)) < 1e-5 for r in out)
+
+
+def test_components_and_singular_values(spark):
+    rnd = np.random.default_rng(2)
+    data = rnd.random((120, 3))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, c double")
+    scaled = (data - data.min(0)) / (data.max(0) - data.min(0))
+    variance = np.sort(np.linalg.eigvalsh(np.cov(scaled.T)))[::-1]
+    got = ml.explained_variance(df, ["a", "b", "c"]).orderBy("component").collect()
+    assert np.allclose([r.share for r in got], variance / variance.sum())
+    got = ml.singular_values(df, ["a", "b", "c"], 2).orderBy("component").collect()
+    assert np.allclose([r.singular_value for r in got], np.linalg.svd(scaled, compute_uv=False)[:2])
+
+
+def test_medians(spark):
+    rnd = np.random.default_rng(3)
+    few, many = rnd.integers(0, 4, 5001).astype(float), rnd.normal(size=5001)
+    df = spark.createDataFrame([(float(a), float(b) if k % 3 else None, None) for k, (a, b) in enumerate(zip(few, many, strict=True))], "a double, b double, c double")
+    want = {"a": float(np.median(few)), "b": float(np.median(many[[k % 3 > 0 for k in range(5001)]])), "c": 0.0}
+    assert ml.fit_medians(df, ["a", "b", "c"]) == pytest.approx(want)
+
+
+def test_places_have_two_levels(spark):
+    """Splits and lowest rows are those of a sort by hash of each whole stratum, null being one."""
+    rows = [(k, [True, False, None][k % 3]) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, s boolean")
+    order = lambda k: (hashlib.md5(f"{k}42".encode()).hexdigest(), k)
+    held = set()
+    for s in (True, False, None):
+        own = sorted((k for k, v in rows if v is s), key=order)
+        held |= set(own[: -(-len(own) // 10)])
+    assert {r.id for r in sampling.split(df, "id", 0.1, "s").where("NOT `training set`").collect()} == held
+    assert {r.id for r in sampling.lowest(df, sampling.seeded(F.col("id")), 57, "id").collect()} == set(sorted(range(400), key=order)[:57])
+
+
+def test_many_rows_without_a_key(spark):
+    """A third of all rows have the sentinel key: it counts as one property in growth and changes, and has no history in installations."""
+    rows = [(k, "unknown" if k % 3 == 0 else f"u{k % 20}", D(2010 + k % 9, 1, 1), k % 4 == 1, "A" if k % 2 else "B") for k in range(120)]
+    df = spark.createDataFrame(rows, "BUILDING_REFERENCE_NUMBER long, UPRN string, INSPECTION_DATE date, HP_INSTALLED boolean, area string")
+    one = df.withColumn("UPRN", F.when(F.col("UPRN") == "unknown", "a key like others").otherwise(F.col("UPRN")))
+    assert sorted(map(tuple, areas.growth(df, "area", 2013, 2016).collect())) == sorted(map(tuple, areas.growth(one, "area", 2013, 2016).collect()))
+    pick = lambda d: sorted((r.BUILDING_REFERENCE_NUMBER, r.HP_ADDED) for r in entries.status_changes(d).collect())
+    assert pick(df) == pick(one)
+    plan = entries.status_changes(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "unknown" in plan
+    dated = installs.reconcile_install_dates(df.withColumn("HP_INSTALL_DATE", F.lit(None).cast("date")))
+    assert dated.where("UPRN = 'unknown' AND ANY_HP IS NOT NULL").count() == 0
+
+
+def test_wide_features_are_no_categories(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("address"))
+    with pytest.raises(ValueError, match="address"):
+        encode.categories(df, ["address"], most=1000)
+
+
+def test_household_encoding(spark, tmp_path):
+    row = {"TENURE": "owner-occupied", "UPRN": "1", "CURRENT_ENERGY_RATING": "C"}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} string" for k in row))
+    first, again = jobs.household_encoding(df), jobs.household_encoding(df, str(tmp_path / "encoded"))
+    assert first.count() == again.count() == 1 and sorted(first.columns) == sorted(again.columns)
+
+
 def test_jobs(spark, tmp_path):
     rows = [("1", "100", "1 High St", "ab1 2cd", "2010-01-02", "Air source heat pump", None, "A"), ("2", "100", "1 High St", "ab1 2cd", "0012-01-02", "Boiler and radiators, mains gas", None, "B"), ("3", "unknown", "2 High St", "ab1 2cd", "INVALID!", None, None, "C")]
     raw = spark.createDataFrame(rows, "BUILDING_REFERENCE_NUMBER string, UPRN string, ADDRESS1 string, POSTCODE string, INSPECTION_DATE string, MAINHEAT_DESCRIPTION string, SECONDHEAT_DESCRIPTION string, CURRENT_ENERGY_RATING string")
