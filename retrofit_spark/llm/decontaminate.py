@@ -41,8 +41,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     Null texts have no words. Repeated rows give a row each. Repeated items with the same item_id count once;
     a null item_id counts as no item in n_items, but its words are hit. Empty tables: no rows, or no hits.
     """
+    return hit_rows(docs, items, id_col, text_col, item_col, item_text_col, window).drop("key")
+
+
+def hit_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of decontaminate(), with key: xxhash64 of the text."""
     spark = docs.sparkSession
-    own = documents(docs, id_col, text_col).select("doc_id", words(F.col("text")).alias("words"))
+    own = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("words"))
     windows = item_windows(items, item_col, item_text_col, window)
     vocabulary = windows.select(F.explode("w").alias("word")).distinct()
     bounded = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
@@ -62,22 +67,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         prefixes = sorted({r.word for r in prefixed.select("word").distinct().collect()})
         places = F.filter(places, lambda i: F.get("words", i).isin(prefixes)) if prefixes else F.array().cast("array<int>")
     rows = own.withColumn("row", F.monotonically_increasing_id()).select(
-        "row", "doc_id", F.size("words").cast("long").alias("n_words"), "words",
+        "row", "doc_id", "key", F.size("words").cast("long").alias("n_words"), "words",
         F.explode_outer(F.when(F.size("words") > 0, places)).alias("at"),
     )
     first = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    rows = rows.select("row", "doc_id", "n_words", "at", F.get("words", F.col("at")).alias("word"), first.alias("from"), F.slice("words", first + 1, 2 * window - 1).alias("near"))
+    rows = rows.select("row", "doc_id", "key", "n_words", "at", F.get("words", F.col("at")).alias("word"), first.alias("from"), F.slice("words", first + 1, 2 * window - 1).alias("near"))
     start = F.col("at") - F.col("offset")
     length = F.size("w")
     hit = (start >= 0) & (start + length <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, length) == F.col("w"))
     met = rows.join(small(prefixed), "word", "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
-    by_row = met.groupBy("row", "doc_id", "n_words").agg(
+    by_row = met.groupBy("row", "doc_id", "key", "n_words").agg(
         F.array_sort(F.collect_set(F.when(F.col("hit"), F.struct(start.alias("s"), (start + length).alias("e"))))).alias("spans"),
         F.collect_set(F.when(F.col("hit"), F.col("item_id").cast("string"))).alias("items"),
     )
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), _cover, lambda a: a["n"])
     return by_row.select(
-        "doc_id", "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        "doc_id", "key", "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .decontaminate import decontaminate
+from .decontaminate import hit_rows
 from .exact import exact_dedup
 from .near import near_rows
 
@@ -36,6 +36,6 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows that hold no window of an item; rows of one doc_id stay or go together."""
-    hit = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(hit.hint("merge"), docs["doc_id"].eqNullSafe(hit["kept_id"]), "left_anti")
+    """Rows that hold no window of an item; of rows that share a doc_id each is judged by its own text."""
+    hit = hit_rows(docs, items).where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key")).distinct()
+    return docs.join(hit.hint("merge"), docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["hit_key"]), "left_anti")

@@ -438,3 +438,16 @@ def test_stages(spark, docs, nothing, texts):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in clean.collect()} == hit and len(hit) >= 2
     for f in (keeping.without_exact_copies, keeping.without_near_copies, lambda d: keeping.without_contaminated(d, items)):
         assert f(nothing).count() == 0
+
+
+def test_stages_judge_rows_of_one_id_by_their_own_text(spark):
+    """Rows that share a doc_id: one of two near copies stays, and only the row with the leak goes."""
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    base, leak, other = ([word() for _ in range(80)] for _ in range(3))
+    texts = [" ".join(base), " ".join([*base[:40], word(), *base[41:]]), " ".join(leak), " ".join(other)]
+    docs = spark.createDataFrame([(7, t) for t in texts], "doc_id long, text string")
+    near_kept = {r.text for r in keeping.without_near_copies(docs).collect()}
+    assert len(near_kept) == 3 and near_kept >= set(texts[2:])
+    items = spark.createDataFrame([(1, " ".join(leak[10:30]))], "item_id long, text string")
+    assert {r.text for r in keeping.without_contaminated(docs, items).collect()} == {*texts[:2], texts[3]}
