@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import SpanHash, mix, text_slices, words
-from .scratch import documents
+from .scratch import bounded, documents
 
 DIMENSIONS, BUCKETS, NONZERO, REACH, HIDDEN = 32, 1 << 14, 4, 2, 32
 #: The classifier is fitted on so many labelled rows at most, those below a threshold of a hash of their doc_id.
 SAMPLE_ROWS = 20_000
+#: Text worked on at once; words take some twenty times their bytes.
+SLICE = 1 << 20
 BLOCK = 512
 
 _SPACE = np.ones(256, bool)
@@ -86,7 +88,7 @@ def _contexts(batches):
     sums = [np.zeros(BUCKETS * DIMENSIONS), np.zeros(BUCKETS * DIMENSIONS)]
     counts = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
     dimensions, signs = index_vectors(np.arange(BUCKETS))
-    for _, data, offsets in text_slices(batches):
+    for _, data, offsets in text_slices(batches, limit=SLICE):
         t = Tokens(data, offsets)
         for k, own in enumerate(t.units):
             counts[k] += np.bincount(own, minlength=BUCKETS)
@@ -210,17 +212,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = documents(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").repartition(8, "doc_id").persist()
     table = np.zeros((2 * BUCKETS, DIMENSIONS + 1))
     contexts = documents(docs, id_col, text_col).select("text").mapInArrow(_contexts, "block int, sums binary").repartition("block").mapInArrow(_add, "block int, sums binary")
-    for r in contexts.collect():  # the vectors' size
+    with bounded(spark):
+        sums = contexts.collect()  # the vectors' size
+    for r in sums:
         table[r.block : r.block + BLOCK] = np.frombuffer(r.sums, np.float32).reshape(-1, DIMENSIONS + 1)
     vectors = word_vectors(table.reshape(2, BUCKETS, DIMENSIONS + 1))
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches):
-        for part, data, offsets in text_slices(batches):
+        for part, data, offsets in text_slices(batches, limit=SLICE):
             x = pooled(Tokens(data, offsets), shared.value)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "label", "x"])
 
-    found = sorted(sample.select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label int, x binary").collect())  # sample_rows small vectors
+    with bounded(spark):
+        found = sorted(sample.select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label int, x binary").collect())  # sample_rows small vectors
     sample.unpersist()
     if len({r.label for r in found}) < 2:
         return QualityModel(None, None, float(found[0].label) if found else 0.5)
@@ -232,7 +237,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=SLICE):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(shared.value.slice_scores(data, offsets))], ["doc_id", "score"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
@@ -250,7 +255,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches):
-        for rows, data, offsets in text_slices(batches, text_col):
+        for rows, data, offsets in text_slices(batches, text_col, SLICE):
             yield rows.filter(pa.array(shared.value.slice_scores(data, offsets) >= 0.5))
 
     return docs.mapInArrow(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
+@contextmanager
+def bounded(spark: SparkSession):
+    """The settings for queries whose rows hold long texts or binaries."""
+    conf = spark.conf
+    before = {k: conf.get(k, None) for k in _WHILE_WRITING}
+    try:
+        for k, v in _WHILE_WRITING.items():
+            conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
 class Scratch:
     """Parquet tables in a new folder below spark.checkpoint.dir; where that is unset, in a temporary folder if Spark runs locally.
 
@@ -31,15 +46,9 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path, conf = f"{self.root}/{name}", self.spark.conf
-        before = {k: conf.get(k, None) for k in _WHILE_WRITING}
-        try:
-            for k, v in _WHILE_WRITING.items():
-                conf.set(k, v)
+        path = f"{self.root}/{name}"
+        with bounded(self.spark):
             df.write.mode("overwrite").parquet(path)
-        finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
