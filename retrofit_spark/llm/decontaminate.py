@@ -5,6 +5,10 @@ that must be contained whole. For containment 1 the necessary prefix is one word
 rarest in the corpus. Documents' words are joined on that word alone; the word's place in the
 window gives where the window would have to start (positional bound), and whether it fits into the
 document (length bound); what remains is verified word by word over a span of the window's size.
+
+One plan serves benchmarks of every size. Words that no window uses are dropped where they are read, by a filter
+of fixed size (a bit for each of SLOTS values of the word's hash); what passes by chance is dropped by the
+join. Windows and counts stay tables; Spark broadcasts them only if they are below its own bound.
 """
 
 from __future__ import annotations
@@ -12,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import documents
+from .scratch import Scratch, documents
 
 WINDOW = 10
-#: Windows are broadcast, and prefix words put into the scan's filter, only up to this many; beyond, both are shuffle joins.
-BROADCAST_WINDOWS = 50_000
+#: Bits of the filter of words, a power of two: 1 MB at every size.
+SLOTS = 1 << 23
 
 #: Runs of the characters that words don't hold; the lower-casing of A-Z comes first.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,36 +50,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def hit_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of decontaminate(), with key: xxhash64 of the text."""
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     own = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), words(F.col("text")).alias("words"))
-    windows = item_windows(items, item_col, item_text_col, window)
-    vocabulary = windows.select(F.explode("w").alias("word")).distinct()
-    bounded = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    small = F.broadcast if bounded else (lambda df: df)
+    windows = scratch.write(item_windows(items, item_col, item_text_col, window), "windows")
+    numbered = windows.select("item_id", "w", F.posexplode("w").alias("offset", "word"))
 
     # Rarity: occurrences in the whole corpus of the words that items use, summed before they are shuffled.
-    counts = own.select(F.explode("words").alias("word")).join(small(vocabulary), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    if bounded:  # one row for each word of at most BROADCAST_WINDOWS windows
-        counts = spark.createDataFrame([(r.word, r.n) for r in counts.collect()], "word string, n long")
-    numbered = windows.select("item_id", "w", F.posexplode("w").alias("offset", "word")).join(small(counts), "word", "left")
+    used = word_filter(numbered)
+    counts = own.select(F.explode("words").alias("word")).where(passes(used, F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset"))
-    prefixed = numbered.groupBy("item_id", "w").agg(rarest.alias("rare")).where("rare.n > 0").select("item_id", "w", F.col("rare.word").alias("word"), F.col("rare.offset").alias("offset"))
-
-    # One row at least for each document, one for each place of a prefix word, with the words around it.
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.size("words") > 0)
-    if bounded:
-        prefixes = sorted({r.word for r in prefixed.select("word").distinct().collect()})
-        places = F.filter(places, lambda i: F.get("words", i).isin(prefixes)) if prefixes else F.array().cast("array<int>")
-    rows = own.withColumn("row", F.monotonically_increasing_id()).select(
-        "row", "doc_id", "key", F.size("words").cast("long").alias("n_words"), "words",
-        F.explode_outer(F.when(F.size("words") > 0, places)).alias("at"),
-    )
+    prefixed = numbered.join(counts, "word", "left").groupBy("item_id", "w").agg(rarest.alias("rare")).where("rare.n > 0")
+    prefixed = scratch.write(prefixed.select("item_id", "w", F.col("rare.word").alias("word"), F.col("rare.offset").alias("offset")), "prefixed")
+
+    # A row for each place of a prefix word, with the words around it, and one at least for each document. The latter
+    # has a key of its own that no word equals (words hold no NUL), so that such rows don't meet in one task.
+    at = own.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "key", "words", F.posexplode_outer("words").alias("at", "here"))
+    is_prefix = F.coalesce(passes(word_filter(prefixed), F.col("here")), F.lit(False))
     first = F.greatest(F.col("at") - (window - 1), F.lit(0))
-    rows = rows.select("row", "doc_id", "key", "n_words", "at", F.get("words", F.col("at")).alias("word"), first.alias("from"), F.slice("words", first + 1, 2 * window - 1).alias("near"))
+    rows = at.where(is_prefix | (F.coalesce("at", F.lit(0)) == 0)).select(
+        "row", "doc_id", "key", F.size("words").cast("long").alias("n_words"), "at", first.alias("from"),
+        F.when(is_prefix, F.col("here")).otherwise(F.concat(F.lit("\0"), F.col("row").cast("string"))).alias("word"),
+        F.when(is_prefix, F.slice("words", first + 1, 2 * window - 1)).alias("near"),
+    )
     start = F.col("at") - F.col("offset")
     length = F.size("w")
     hit = (start >= 0) & (start + length <= F.col("n_words")) & (F.slice("near", F.greatest(start - F.col("from"), F.lit(0)) + 1, length) == F.col("w"))
-    met = rows.join(small(prefixed), "word", "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
+    met = rows.join(prefixed, "word", "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
     by_row = met.groupBy("row", "doc_id", "key", "n_words").agg(
         F.array_sort(F.collect_set(F.when(F.col("hit"), F.struct(start.alias("s"), (start + length).alias("e"))))).alias("spans"),
         F.collect_set(F.when(F.col("hit"), F.col("item_id").cast("string"))).alias("items"),
@@ -87,6 +87,22 @@ def hit_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     )
 
 
+def word_filter(table: DataFrame) -> DataFrame:
+    """One row: an array of SLOTS bits in longs, where the bit of each `word` of the table is set."""
+    slot = F.xxhash64("word").bitwiseAND(SLOTS - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    taken = table.select(F.shiftright(slot, 6).alias("i"), bit.alias("bits"))
+    none = table.sparkSession.range(0, SLOTS // 64, 1, 1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("bits"))
+    cells = taken.unionByName(none).groupBy("i").agg(F.bit_or("bits").alias("bits"))
+    return cells.agg(F.array_sort(F.collect_list(F.struct("i", "bits")))["bits"].alias("bits"))
+
+
+def passes(bits: DataFrame, word: Column) -> Column:
+    """Whether the word's bit is set in a word_filter()."""
+    slot = F.xxhash64(word).bitwiseAND(SLOTS - 1)
+    return F.getbit(F.get(bits.scalar(), F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(63).cast("int")) == 1
+
+
 def _cover(a: Column, span: Column) -> Column:
     """Words covered by spans that come by their start."""
     end = F.greatest(a["end"], span["e"])
