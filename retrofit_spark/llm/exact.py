@@ -3,8 +3,9 @@
 Documents are split by their length and then by successive runs of bytes, most significant first.
 Each round groups the undecided documents by (group so far, next bytes): a document alone in its
 group is done, a group whose texts have ended holds equal texts, and the rest goes on to the next
-bytes. Runs grow sixteenfold from 32 bytes up to 64 KB, so few rounds are needed and no key exceeds
-64 KB. No digest takes part in deciding equality.
+bytes. Runs grow sixteenfold from 32 bytes on, without an end, so two equal texts of n bytes take about log16(n/32)
+rounds (six for 20 MB), of which each writes what is left of them once. A key is a part of one text, cut off
+from it before both are shuffled, so a row is never larger than its text. No digest takes part in deciding equality.
 
 Group sizes are aggregated before they are shuffled, and the rows return to their group by a
 sort-merge join whose skewed keys Spark splits, so a group of a third of all rows isn't one task.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, documents
 
-FIRST_BYTES, GROWTH, MOST_BYTES = 32, 16, 1 << 16
+FIRST_BYTES, GROWTH = 32, 16
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,15 +38,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     done, step, depth = [], 0, FIRST_BYTES
     while True:
-        digit = F.substring("rest", 1, depth)
-        keyed = rest.withColumn("digit", digit)
+        keyed = rest.select("doc_id", "text_sha256", "group", F.substring("rest", 1, depth).alias("digit"), F.substring("rest", depth + 1, 1 << 30).alias("tail"))
         groups = keyed.groupBy("group", "digit").agg(F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id"))
         groups = scratch.write(groups.where("group_size > 1").withColumn("next_group", F.monotonically_increasing_id()), f"groups{step}")
         joined = keyed.join(groups.hint("merge"), ["group", "digit"], "left")  # by one plan at every size
         state = scratch.write(
             joined.select(
                 "doc_id", "text_sha256", "group_size", "keep_id", F.col("next_group").alias("group"),
-                F.when(F.col("next_group").isNotNull(), F.substring(F.col("rest"), depth + 1, 1 << 30)).alias("rest"),
+                F.when(F.col("next_group").isNotNull(), F.col("tail")).alias("rest"),
             ),
             f"state{step}",
         )
@@ -53,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         done.append(state.where(ended).select("doc_id", "group", F.lit(step).alias("step"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), "text_sha256"))
         rest = state.where(~ended).select("doc_id", "rest", "text_sha256", "group")
         scratch.drop(f"groups{step}")
-        step, depth = step + 1, min(depth * GROWTH, MOST_BYTES)
+        step, depth = step + 1, min(depth * GROWTH, 1 << 30)
         if rest.isEmpty():
             break
     found = done[0]

@@ -63,6 +63,14 @@ def test_exact(docs, nothing):
     assert exact.exact_dedup(nothing).count() == 0
 
 
+def test_exact_long_texts(spark):
+    """Texts of 20 MB: two equal ones, one that differs in its last byte only; they end after few rounds."""
+    long = "abcdefghij" * 2_000_000
+    table = spark.createDataFrame([(1, long), (2, long[:-1] + "!"), (3, long), (4, "short")], "doc_id long, text string")
+    got = exact.exact_dedup(table)
+    assert {tuple(r) for r in got.select("doc_id", "keep_id", "group_size", "kept").collect()} == {(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True), (4, 4, 1, True)}
+
+
 def brute_hits(text, windows):
     w, hit, items = words(text), set(), set()
     for item, g in windows:
@@ -73,10 +81,21 @@ def brute_hits(text, windows):
     return len(w), len(hit), len(items), sha(",".join(sorted(items))), bool(hit)
 
 
-@pytest.mark.parametrize("bounded", [True, False])
-def test_decontaminate(spark, docs, nothing, texts, bounded, monkeypatch):
-    if not bounded:
-        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+@pytest.mark.parametrize("slots", [1 << 23, 64])
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_decontaminate(spark, docs, nothing, texts, slots, threshold, monkeypatch):
+    """Whichever join Spark picks, and if the filter passes words by chance."""
+    monkeypatch.setattr(decontaminate, "SLOTS", slots)
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, threshold)
+    try:
+        _decontaminate(spark, docs, nothing, texts)
+    finally:
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(key)
+
+
+def _decontaminate(spark, docs, nothing, texts):
     passage = texts[13]
     items = [(1, passage), (10, "One"), (2, "one two"), (3, None), (4, ""), (5, " ".join(words(texts[6])[5:30])), (5, " ".join(words(texts[6])[5:30])), (7, "not there at all")]
     table = spark.createDataFrame(items, "item_id long, text string")
