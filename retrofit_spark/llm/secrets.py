@@ -1,6 +1,6 @@
 """Secret scans by a trigram inverted index.
 
-Each rule's pattern is reduced to a Boolean query over trigrams that any match must contain. A
+Each rule's pattern is parsed and reduced to a Boolean query over trigrams that any match must contain (trigrams.py). A
 partition's documents are indexed slice by slice: postings map each trigram that some query names to
 the documents that have it. Queries are answered by uniting and intersecting postings, and only
 the documents found are searched with the pattern. A rule whose pattern has no mandatory trigram
@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -23,44 +22,36 @@ from pyspark.sql import DataFrame
 
 from .arrowtext import LOWER, rows_of, text_slices
 from .scratch import documents
+from .trigrams import Query, query_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: a regular expression; least: least length of `group`; literals: alternatives, each a sequence
-    of literal parts that stand next to each other in every match (each part one or more spellings)."""
+    """pattern: a regular expression; least: least length of `group` in a match that counts."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
-    literals: tuple[tuple[tuple[str, ...], ...], ...] = ()
     base: bool = True
     compiled: re.Pattern = field(init=False, compare=False, default=None)
 
     def __post_init__(self):
         object.__setattr__(self, "compiled", re.compile(self.pattern, re.ASCII))
 
-    def query(self) -> frozenset[frozenset[str]]:
+    def query(self) -> Query:
         """The Boolean trigram query in disjunctive form: one of these sets of trigrams is in every match. Empty: scan fully."""
-        sets = set()
-        for alternative in self.literals:
-            for spelling in product(*alternative):
-                text = "".join(spelling).lower()
-                if len(text) < 3:
-                    return frozenset()
-                sets.add(frozenset(text[i : i + 3] for i in range(len(text) - 2)))
-        return frozenset(sets)
+        return query_of(self.pattern, re.ASCII)
 
 
 #: The base kinds, then the kinds that this scanner adds.
 RULES = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ((("password",),), (("passwd",),), (("secret",),), (("token",),), (("api",), ("", "_"), ("key",)))),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, ((("akia",),),)),
+    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"(?<![0-9a-f])[0-9a-f]{32,}", 0, 32),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 0, ((("-----begin ",),),), False),
-    Rule("bearer", r"(?i:authorization:\x20*bearer)\x20+([A-Za-z0-9+/_.=~-]+)", 1, 16, ((("authorization:",),),), False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, ((("eyj",),),), False),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", 0, 0, False),
+    Rule("bearer", r"(?i:authorization:\x20*bearer)\x20+([A-Za-z0-9+/_.=~-]+)", 1, 16, False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, False),
 )
 
 
@@ -74,10 +65,9 @@ class TrigramIndex:
 
     def __init__(self, wanted: set[str]):
         names = sorted(wanted)
-        self.slot = np.zeros(1 << 24, np.uint8)
-        assert len(names) < 256
+        self.slot = np.zeros(1 << 24, np.uint8 if len(names) < 256 else np.uint32)
         for k, name in enumerate(names, 1):
-            a, b, c = name.encode()
+            a, b, c = name.encode("latin-1")
             self.slot[(a << 16) | (b << 8) | c] = k
         self.names = names
 
@@ -91,7 +81,7 @@ class TrigramIndex:
         return {name: rows[which == k] for k, name in enumerate(self.names, 1)}
 
 
-def answer(query: frozenset[frozenset[str]], postings: dict[str, np.ndarray]) -> np.ndarray:
+def answer(query: Query, postings: dict[str, np.ndarray]) -> np.ndarray:
     """Rows that satisfy the query: the union over its sets of the intersection of their postings, shortest first."""
     found = []
     for trigrams in query:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from retrofit_spark.llm import bpe, counts, decontaminate, exact, induced, keeping, lm, near, quality, repeats, secrets, store, units
+from retrofit_spark.llm import bpe, counts, decontaminate, exact, induced, keeping, lm, near, quality, repeats, secrets, store, trigrams, units
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 sha = lambda t: hashlib.sha256(t if isinstance(t, bytes) else t.encode()).hexdigest()
@@ -44,6 +44,40 @@ def test_trigram_queries():
     key = next(r for r in secrets.RULES if r.kind == "assign").query()
     assert frozenset({"api", "pi_", "i_k", "_ke", "key"}) in key and frozenset({"api", "pik", "ike", "key"}) in key
     assert not next(r for r in secrets.RULES if r.kind == "hex").query()
+    queries = {r.kind: r.query() for r in secrets.RULES}
+    assert queries["access"] == {frozenset({"aki", "kia"})} and queries["jwt"] == {frozenset({"eyj"})}
+    assert {"beg", "e k"} <= next(iter(queries["private_key"])) and {"ati", "bea"} <= next(iter(queries["bearer"]))
+
+
+#: Patterns, and texts that each of them matches.
+PATTERNS = [
+    (r"abc|xyzw", ["abc", "xyzw"]), (r"(?:ab){2,5}c", ["ababc", "abababababc"]), (r"colou?r", ["color", "colour"]), (r"gr[ae]y+", ["gray", "greyyy"]),
+    (r"(?i)straße", ["Straße", "STRAßE"]), (r"(?i)key", ["key", "KEY", "\u212aey"]), (r"a.c", ["a-c"]), (r"a[^b]cde", ["azcde"]), (r"(abc)\1", ["abcabc"]), (r"x*abc\b", ["xxabc", "abc"]),
+    (r"(?=abc)[a-z]+", ["abcd"]), (r"(?:foo|ba)(?:bar|r)", ["foobar", "bar", "foor", "babar"]), (r"[abc][abc][abc][abc][abc]", ["abcab"]), (r"(?>tok|to)en_\w+", ["token_1"]),
+    (r"日本語", ["日本語"]), (r"a{3}", ["aaa"]), (r"(?:abc)?(?:def)?", [""]), (r"[\w]key", ["akey"]), (r"sk_(live|test)_[0-9a-z]{8,}", ["sk_live_12345678", "sk_test_abcdefgh9"]), (r"(?i:GHP)_x", ["ghp_x", "GhP_x"]),
+]
+
+
+@pytest.mark.parametrize("flags", [0, re.ASCII])
+def test_trigram_queries_of_any_pattern(flags):
+    """A text with a match has all trigrams of one of the query's sets."""
+    for pattern, texts in PATTERNS:
+        query = trigrams.query_of(pattern, flags)
+        for t in texts:
+            if re.search(pattern, t, flags):
+                seen = t.encode().lower().decode("latin-1")
+                assert not query or any(all(x in seen for x in s) for s in query), (pattern, t, query)
+            else:
+                assert flags and "\u212a" in t
+    assert trigrams.query_of(r"sk_(live|test)_[0-9a-z]{8,}") == {frozenset(x[i : i + 3] for i in range(len(x) - 2)) for x in ("sk_live_", "sk_test_")}
+    assert all(not trigrams.query_of(p) for p in (r"a.c", r"(?:abc)?", r"abc|x", r"", r"[0-9a-f]{32}"))
+
+
+def test_secrets_of_rules_given_as_patterns(spark, docs):
+    rules = (secrets.Rule("ids", r"qu(?:sto|lum)\w*", 0, 0), secrets.Rule("long", r"日本.のテキ", 0, 0), secrets.Rule("any", r"z{3}|\d{4}", 0, 4))
+    got = Counter((r.doc_id, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in secrets.find_secrets(docs, rules=rules).collect())
+    want = Counter((i, tuple((rules[k].kind, a, b) for a, k, b in secrets.scan_text(t or "", rules))) for i, t in all_rows(docs))
+    assert got == want and sum(len(spans) for _, spans in got) > 20
 
 
 def test_exact(docs, nothing):
