@@ -264,9 +264,23 @@ def singular_values(df: DataFrame, features: list[str], k: int = 10) -> DataFram
     return df.sparkSession.createDataFrame([(n, float(x) ** 0.5, float(x) / total) for n, x in enumerate(squares[:k])], "component int, singular_value double, share double")
 
 
-def poisson_rates(df: DataFrame, count: str, exposure: str, features: list[str]) -> DataFrame:
-    """Expected counts of areas by a Poisson regression with log link and the exposure as offset."""
+def poisson_tail(count: Column, mean: Column) -> Column:
+    """Probability that a Poisson variable of that mean exceeds the count; null where either is. Terms are summed by their logarithms."""
+    start = F.struct((-mean).alias("log"), F.exp(-mean).alias("sum"))
+    step = lambda a, i: F.struct((a["log"] + F.log(mean / i)).alias("log"), (a["sum"] + F.exp(a["log"] + F.log(mean / i))).alias("sum"))
+    below = F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count.cast("int"))).otherwise(F.array().cast("array<int>")), start, step)["sum"]
+    return F.when(count.isNotNull() & mean.isNotNull(), F.greatest(F.lit(0.0), 1 - below))
+
+
+def poisson_rates(df: DataFrame, count: str, exposure: str, features: list[str], threshold: float | None = None) -> DataFrame:
+    """Expected counts of areas by a Poisson regression with log link and the exposure as offset.
+
+    `exceedance` is the probability that the area's count exceeds what was observed, which is small for areas with more
+    than the model explains; with a threshold, that it exceeds this share of the exposure. Areas without exposure are left out.
+    """
     ready = df.where(F.col(exposure) > 0).withColumns({"__offset": F.log(F.col(exposure).cast("double")), "__label": F.col(count).cast("double")})
     ready = VectorAssembler(inputCols=features, outputCol="features").transform(ready)
     fitted = GeneralizedLinearRegression(family="poisson", link="log", featuresCol="features", labelCol="__label", offsetCol="__offset").fit(ready)
-    return ready.withColumn("expected", F.exp(_linear(fitted) + F.col("__offset"))).drop("__offset", "__label", "features")
+    out = ready.withColumn("expected", F.exp(_linear(fitted) + F.col("__offset")))
+    bound = F.col(count) if threshold is None else F.floor(F.col(exposure) * F.lit(float(threshold)))
+    return out.withColumn("exceedance", poisson_tail(bound, F.col("expected"))).drop("__offset", "__label", "features")

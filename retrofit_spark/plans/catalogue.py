@@ -268,9 +268,11 @@ def first_last_state(spark, d):
     return entries.first_and_last_state(base(spark, d), "uprn", "hp", **_AT).select("uprn", c("AT_FIRST").alias("at_first"), c("AT_LAST").alias("at_last"))
 
 
-@query("""WITH m AS (SELECT *, count(*) OVER (PARTITION BY uprn) AS n, row_number() OVER (PARTITION BY uprn ORDER BY inspection_date ASC NULLS LAST, brn) AS i,
-  first_value(hp) OVER (PARTITION BY uprn ORDER BY inspection_date DESC NULLS FIRST, brn DESC) AS added FROM base WHERE uprn IS NOT NULL)
-SELECT uprn, brn, added FROM m WHERE n >= 2 AND i = 1 AND NOT hp""", "base")
+_CHANGES = """SELECT uprn, brn, added FROM (SELECT *, count(*) OVER (PARTITION BY uprn) AS n, row_number() OVER (PARTITION BY uprn ORDER BY inspection_date ASC NULLS LAST, brn) AS i,
+  first_value(hp) OVER (PARTITION BY uprn ORDER BY inspection_date DESC NULLS FIRST, brn DESC) AS added FROM base WHERE uprn IS NOT NULL) m WHERE n >= 2 AND i = 1 AND NOT hp"""
+
+
+@query(_CHANGES, "base")
 def status_changes(spark, d):
     return entries.status_changes(base(spark, d), "uprn", "hp", **_AT).select("uprn", "brn", c("HP_ADDED").alias("added"))
 
@@ -521,6 +523,18 @@ def encode_pipeline(spark, d):
     return encode.encode_features(df, ["GLAZED_TYPE"], unaltered=["uprn"], drop=["address1"])
 
 
+_HOUSEHOLD = ["UPRN", "POSTCODE", "ADDRESS1", "ADDRESS2", "COUNTRY", "MAINHEAT_DESCRIPTION", "CURRENT_ENERGY_RATING", "POTENTIAL_ENERGY_RATING", "ROOF_ENERGY_EFF", "GLAZED_TYPE", "CONSTRUCTION_AGE_BAND", "INSPECTION_DATE", "TOTAL_FLOOR_AREA"]
+
+
+@query(f"""SELECT uprn AS UPRN, postcode AS POSTCODE, {_ordinal('current_energy_rating', L.ORDERS['CURRENT_ENERGY_RATING'])} AS CURRENT_ENERGY_RATING, {_ordinal('potential_energy_rating', L.ORDERS['POTENTIAL_ENERGY_RATING'])} AS POTENTIAL_ENERGY_RATING,
+{_eff_value('roof_energy_eff')} AS ROOF_ENERGY_EFF, {_ordinal('g', L.ORDERS['GLAZED_TYPE'])} AS GLAZED_TYPE, inspection_date AS INSPECTION_DATE, total_floor_area AS TOTAL_FLOOR_AREA, hp AS HP_INSTALLED, {_ordinal('same', L.ORDERS['N_SAME_UPRN_ENTRIES'])} AS N_SAME_UPRN_ENTRIES,
+""" + ", ".join(f"""CAST(country = '{v}' AS INT) AS "COUNTRY: {v}" """ for v in _COUNTRIES) + f"FROM (SELECT *, {_reduced('glazed_type', 'GLAZED_TYPE')} AS g, {_counted('uprn')} AS same FROM base) q", "base")
+def encode_households(spark, d):
+    df = base(spark, d).select(*(c(x.lower()).alias(x) for x in _HOUSEHOLD), c("brn").alias("BUILDING_REFERENCE_NUMBER"), c("hp").alias("HP_INSTALLED"))
+    out = jobs.household_encoding(entries.with_entry_counts(df, {"N_SAME_UPRN_ENTRIES": "UPRN"}))
+    return out.withColumn("ROOF_ENERGY_EFF", c("ROOF_ENERGY_EFF").cast("double"))
+
+
 # ---------------------------------------------------------------- sampling
 
 
@@ -552,6 +566,21 @@ def labelled_current_status(spark, d):
     return rows.select("brn", c(targets[0]).alias("pump"))
 
 
+@query(f"WITH l AS (SELECT brn, added FROM ({_CHANGES}) w), " + _BALANCED.format(rows=_PUMPS.format(hp="added", src="l")) + " SELECT brn, pump FROM b", "base")
+def labelled_future_status(spark, d):
+    df = base(spark, d).withColumn("HP_INSTALLED", c("hp"))
+    rows, targets = jobs.labelled(df, "Future HP Status", key="uprn", tie="brn", balanced=True)
+    return rows.select("brn", c(targets[0]).alias("pump"))
+
+
+@query(f"WITH g AS ({_growth_sql('a.n')}) SELECT sector, later, growth FROM g WHERE growth >= 0", "base")
+def labelled_growth(spark, d):
+    df = base(spark, d).select("sector", "glazed_type", "current_energy_rating", *_AREA_COLUMNS, "uprn", "hp", "inspection_date", "brn")
+    areas_of = jobs.growth_by_area(df, "sector", 1997, 1999, ordinal=["current_energy_rating", "hp"], values=_GLAZED, key="uprn", installed="hp", date="inspection_date", tie="brn")
+    rows, targets = jobs.labelled(areas_of, "HP Growth by Area", drop=("HP_COVERAGE_CURRENT",))
+    return rows.select("sector", *(F.round(c(t), 6).alias(v) for t, v in zip(targets, ("growth", "later"), strict=True)))
+
+
 # ---------------------------------------------------------------- grid
 
 _CELL = """cells AS (SELECT b.*, x.cell FROM base b JOIN (SELECT postcode, CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END::BIGINT || ':' || CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END::BIGINT AS cell

@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -166,6 +167,23 @@ def test_components_and_singular_values(spark):
     assert np.allclose([r.singular_value for r in got], np.linalg.svd(scaled, compute_uv=False)[:2])
 
 
+def test_poisson_tail(spark):
+    cases = [(0, 0.5), (3, 2.0), (40, 31.5), (900, 1000.0), (None, 1.0)]
+    df = spark.createDataFrame(cases, "n int, mean double").select("n", "mean", ml.poisson_tail(F.col("n"), F.col("mean")).alias("p"))
+    for r in df.collect():
+        want = None if r.n is None else 1 - sum(math.exp(i * math.log(r.mean) - r.mean - math.lgamma(i + 1)) for i in range(r.n + 1))
+        assert r.p is want if want is None else abs(r.p - want) < 1e-9
+
+
+def test_poisson_rates(spark):
+    """The fitted means have the observed sums: the score equations of the intercept and of the feature."""
+    rnd = np.random.default_rng(4)
+    rows = [(int(rnd.poisson(n * math.exp(-2 + x))), n, float(x)) for n, x in zip(rnd.integers(50, 200, 80).tolist(), rnd.random(80), strict=True)]
+    out = ml.poisson_rates(spark.createDataFrame(rows, "pumps int, homes int, x double"), "pumps", "homes", ["x"]).collect()
+    assert abs(sum(r.expected - r.pumps for r in out)) < 1e-3 and abs(sum((r.expected - r.pumps) * r.x for r in out)) < 1e-3
+    assert all(0 <= r.exceedance <= 1 for r in out)
+
+
 def test_medians(spark):
     rnd = np.random.default_rng(3)
     few, many = rnd.integers(0, 4, 5001).astype(float), rnd.normal(size=5001)
