@@ -276,4 +276,4 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             flat[r.block : r.block + 512] += np.frombuffer(r.change, np.float32).reshape(-1, CLASSES)
         weights = flat.reshape(weights.shape)
     model = sc.broadcast((weights, class_bias, part_bias, tokens_in, types_in, total, distinct))
-    return ready.drop("part").mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scratch.write(ready.drop("part").mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
