@@ -10,7 +10,7 @@ last factor, among words of one band and part, has the bias feature alone, whose
 weights are relative frequencies. A tenth of the base model is mixed in, so that no token gets less than a tenth
 of its base score.
 
-Work is done on slices: a few MB of text as indexes into the slice's own sorted vocabulary of
+Work is done on slices: a MB of text as indexes into the slice's own sorted vocabulary of
 64-bit word hashes. A slice sends its distinct words with their counts to their hash's range and gets back
 their corpus counts in the same order, so a word of a third of all tokens is one
 entry of each slice. Ranges are as many as their memory needs; a slice sends no more rows than it has
@@ -29,8 +29,8 @@ from .arrowtext import LOWER, SpanHash, by_range, mix, text_slices, words
 from .scratch import Scratch, documents
 
 CLASSES, PARTS, BUCKETS, FEATURES, BATCH, PASSES, RATE, BASE_SHARE = 16, 16, 1 << 13, 3, 4096, 2, 0.5, 0.1
-#: Slices whose words a range sums at once.
-SLICES_A_RANGE = 32
+#: Text of a slice, and slices whose words a range sums at once.
+SLICE_BYTES, SLICES_A_RANGE = 1 << 20, 64
 END = np.uint64(0x5DEECE66D5DEECE7)
 _SPACE = np.ones(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = False
@@ -57,7 +57,7 @@ def _tokenise(batches):
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    for n, (rows, data, offsets) in enumerate(text_slices(batches)):
+    for n, (rows, data, offsets) in enumerate(text_slices(batches, limit=SLICE_BYTES)):
         data = LOWER[data]
         starts, ends, of = words(data, offsets, _SPACE)
         hashes = SpanHash(data).of(starts, ends)
