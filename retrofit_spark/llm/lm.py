@@ -144,26 +144,35 @@ def buckets_of(hashed: np.ndarray, classes: np.ndarray | None = None) -> np.ndar
     return (hashed % np.uint64(BUCKETS)).astype(np.int64) + (np.arange(FEATURES) * BUCKETS)[:, None]
 
 
-def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[0]]
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the features' weights; within 80 of zero, so that no exponential leaves single precision."""
+    logits = weights.take(rows[0], 0)
     for more in rows[1:]:
-        logits += weights[more]
+        logits += weights.take(more, 0)
     logits += bias
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    return np.clip(logits, -80, 80, out=logits)
+
+
+def log_softmax(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    logits = _logits(weights, bias, rows)
+    logits -= np.log(np.exp(logits) @ np.ones(logits.shape[1], logits.dtype))[:, None]
+    return logits
 
 
 def update(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> None:
     """A gradient step over one batch, in place: each feature moves by the mean gradient of its tokens, less where it has few."""
-    gradient = np.exp(log_softmax(weights, bias, rows))
+    gradient = _logits(weights, bias, rows)
+    np.exp(gradient, out=gradient)
+    gradient /= (gradient @ np.ones(gradient.shape[1], gradient.dtype))[:, None]
     gradient[np.arange(len(chosen)), chosen] -= 1
     for k, own in enumerate(rows):
         order = np.argsort((own - k * BUCKETS).astype(np.uint16), kind="stable")
         where = own[order]
         starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-        sums = np.add.reduceat(gradient[order], starts, axis=0)
-        n = np.diff(np.append(starts, len(where)))[:, None]
-        weights[where[starts]] -= (RATE * sums / (n + 4.0)).astype(np.float32)
+        sums = np.add.reduceat(gradient.take(order, 0), starts, axis=0)
+        n = np.diff(np.append(starts, len(where)))
+        sums *= (RATE / (n + 4.0)).astype(np.float32)[:, None]
+        weights[where[starts]] -= sums
 
 
 def _opened(x: dict):
@@ -188,7 +197,7 @@ def _train(model):
                     at = use[a : a + BATCH]
                     classes, parts = np.divmod(leaves[index[at]], PARTS)
                     update(own[0], class_bias, buckets_of(hashed[:, at]), classes)
-                    update(own[1], part_bias[classes], buckets_of(hashed[:, at], classes), parts)
+                    update(own[1], part_bias.take(classes, 0), buckets_of(hashed[:, at], classes), parts)
                 seen += len(use)
         if seen:
             change = (own - weights).reshape(-1, CLASSES)
@@ -225,7 +234,7 @@ def _score(model):
                     classes, parts = np.divmod(leaves[index[b]], PARTS)
                     here = np.arange(len(classes))
                     own[b] = log_softmax(weights[0], class_bias, buckets_of(hashed[:, b]))[here, classes]
-                    own[b] += log_softmax(weights[1], part_bias[classes], buckets_of(hashed[:, b], classes))[here, parts]
+                    own[b] += log_softmax(weights[1], part_bias.take(classes, 0), buckets_of(hashed[:, b], classes))[here, parts]
                 own = np.log10((1 - BASE_SHARE) * np.exp(own + inside[index]) + BASE_SHARE * 10 ** base[index])
                 add = lambda v: np.add.reduceat(v, bounds[:-1])  # noqa: E731  every document has its end
                 yield pa.RecordBatch.from_arrays(
