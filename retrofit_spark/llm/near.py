@@ -71,7 +71,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     rolled = np.zeros(len(hashes), np.uint64)
     for k in range(WORDS):  # short texts end before the fifth word
         here = np.zeros(len(hashes), np.uint64)
-        here[: len(hashes) - k] = hashes[k:]
+        here[: max(len(hashes) - k, 0)] = hashes[k:]
         if k:
             here[np.arange(len(hashes)) + k >= (first + n)[rows]] = 0
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + here
@@ -155,7 +155,7 @@ def _signatures(shared):
                     b = k // ROWS
                     bands[:, b] = mix(bands[:, b] * np.uint64(31) + samples(rows, hashes, weights, k, starts) + np.uint64(b + 1))
             packed = np.stack([hashes, counts.astype(np.uint64)], axis=1)
-            raw, ends = data.tobytes(), np.append(starts[1:], len(rows))
+            raw, ends = data.tobytes(), np.append(starts, len(rows))[1:]
             nodes = [hashlib.blake2b(raw[offsets[i] : offsets[i + 1]], digest_size=16, person=b"text").digest() for i in range(part.num_rows)] if len(some) < part.num_rows else [b""] * part.num_rows
             lists = [None] * part.num_rows
             for i, a, b, own in zip(some.tolist(), starts.tolist(), ends.tolist(), bands.view(np.int64), strict=True):
