@@ -4,7 +4,8 @@ Each rule's pattern is parsed and reduced to a Boolean query over trigrams that
 partition's documents are indexed slice by slice: postings map each trigram that some query names to
 the documents that have it. Queries are answered by uniting and intersecting postings, and only
 the documents found are searched with the pattern. A rule whose pattern has no mandatory trigram
-(long hex runs) is answered by a full scan. No shuffle: the index of a slice lives beside its text.
+is answered by a full scan: of the bytes for a run that the pattern asks for (32 hex digits), else of all texts with
+the pattern itself. What a rule is named has no part in it. No shuffle: the index of a slice lives beside its text.
 
 Null text counts as empty; an empty table gives an empty result; repeated rows are scanned each on
 their own; other columns are ignored. A text of any length is searched whole.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .arrowtext import LOWER, rows_of, text_slices
 from .scratch import documents
-from .trigrams import Query, query_of
+from .trigrams import Query, query_of, run_of
 
 
 @dataclass(frozen=True)
@@ -93,15 +94,11 @@ def answer(query: Query, postings: dict[str, np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-_HEX = np.zeros(256, bool)
-_HEX[48:58] = _HEX[97:103] = True
-
-
-def _hex_rows(data: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
-    """Full scan: rows that hold a run of `least` hex digits (run ends at row ends are refined by the pattern)."""
+def _run_rows(data: np.ndarray, offsets: np.ndarray, least: int, inside: np.ndarray) -> np.ndarray:
+    """Full scan: rows that touch a run of `least` or more bytes of the table (run ends at row ends are refined by the pattern)."""
     if not len(data):
         return np.zeros(0, np.int64)
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], _HEX[data].view(np.int8), [0]))))
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside[data].view(np.int8), [0]))))
     starts, ends = edge[::2], edge[1::2]
     long = ends - starts >= least
     spans = [np.arange(a, b + 1) for a, b in zip(rows_of(offsets, starts[long]), rows_of(offsets, ends[long] - 1), strict=True)]
@@ -116,6 +113,7 @@ def scan_text(text: str, rules=RULES) -> list[tuple[int, int, int]]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: doc_id and spans (array of struct kind, start, end; code points, end exclusive)."""
     queries = [r.query() for r in rules]
+    runs = {k: (n, np.isin(np.arange(256), sorted(codes))) for k, r in enumerate(rules) if not queries[k] and (found := run_of(r.pattern, re.ASCII)) for n, codes in [found]}
 
     def run(batches):
         index = TrigramIndex({t for q in queries for s in q for t in s})
@@ -125,8 +123,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for k, (rule, query) in enumerate(zip(rules, queries, strict=True)):
                 if query:
                     hits = answer(query, postings)
-                elif rule.kind == "hex":
-                    hits = _hex_rows(data, offsets, rule.least)
+                elif k in runs:
+                    hits = _run_rows(data, offsets, *runs[k])
                 else:
                     hits = range(len(offsets) - 1)
                 for i in hits:

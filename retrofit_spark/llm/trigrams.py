@@ -135,6 +135,33 @@ def _node(kind, value, flags: int) -> Part:
     return UNKNOWN
 
 
+#: Runs of this length or more are worth looking for.
+LEAST_RUN = 8
+
+
+def run_of(pattern: str, flags: int = 0) -> tuple[int, frozenset[int]] | None:
+    """(n, characters): every match holds a run of n or more of these ASCII characters. None if the pattern shows no such run."""
+    tree = _parser.parse(pattern, flags)
+    found = None
+    for kind, value in tree:
+        if kind not in (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT) or len(value[2]) != 1 or tree.state.flags & re.IGNORECASE:
+            continue
+        inner, items = value[2][0]
+        items = items if inner is op.IN else [(inner, items)]
+        codes: set[int] | None = set()
+        for what, code in items:
+            if what is op.LITERAL and code < 128:
+                codes.add(code)
+            elif what is op.RANGE and code[1] < 128:
+                codes.update(range(code[0], code[1] + 1))
+            else:
+                codes = None
+                break
+        if codes and value[0] >= LEAST_RUN and (found is None or value[0] > found[0]):
+            found = int(value[0]), frozenset(codes)
+    return found
+
+
 def _walk(tree, flags: int) -> Part:
     return _sequence(_node(kind, value, flags) for kind, value in tree)
 
