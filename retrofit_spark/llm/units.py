@@ -73,6 +73,9 @@ def drops_case_and_space(tokenizer) -> bool:
 #: Fixed value: the splitting pattern, beside byte-level's own, for which breaks are proven safe.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: The normalisers, with all of their fields, for which breaks are proven safe.
+NORMALISERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+
 
 def covered(tokenizer) -> bool:
     """Whether the proof of safe breaks holds for the tokenizer's splitting, normalising and special strings."""
@@ -81,9 +84,8 @@ def covered(tokenizer) -> bool:
     steps = steps.get("pretokenizers", [steps])
     own_split = len(steps) == 1 and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space")
     word_split = len(steps) == 2 and steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": WORD_PATTERN} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space")
-    normal = made.get("normalizer") or {}
-    kinds = [(x.get("type"), (x.get("pattern") or {}).get("Regex")) for x in normal.get("normalizers", [normal] if normal else [])]
-    plain = all(kind in (("NFC", None), ("Lowercase", None), ("Replace", r"\s+")) for kind in kinds)
+    normal = made.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    plain = all(step in NORMALISERS for step in (normal["normalizers"] if normal.get("type") == "Sequence" else [normal]))
     special = all(not (t.lstrip or t.rstrip or t.single_word) and not set(t.content) & set(" \t\n\r\v\f.,;:!?)") for t in tokenizer.get_added_tokens_decoder().values())
     return bool((own_split or word_split) and plain and special)
 
