@@ -7,6 +7,7 @@ text however large the Arrow batch is, so working memory doesn't depend on the n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,12 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Masks of the first 0 to 8 of eight bytes.
+_FULL = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -37,16 +39,6 @@ def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iter
             first = last
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            up = np.full(size, base, np.uint64)
-            up[0] = 1
-            _powers[k] = np.cumprod(up, dtype=np.uint64)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -55,15 +47,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """64-bit polynomial hashes of any byte spans of one slice, from prefix sums."""
+    """64-bit hashes of any byte spans of one slice. Eight bytes after eight go through a mixing permutation, so there is no sum
+    or polynomial whose terms could cancel, whatever pattern the bytes have; spans of more than LONG_SPAN bytes are digests (BLAKE2b)."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _grown(len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
+        self.data, padded = data, np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        lengths = ends - starts
+        out, long = mix(lengths.astype(np.uint64)), np.flatnonzero(lengths > LONG_SPAN)
+        at = np.flatnonzero((lengths > 0) & (lengths <= LONG_SPAN))
+        place, left, state = starts[at], lengths[at], out[at]
+        while len(at):
+            last = left <= 8
+            eight = self.eights[place]
+            eight[last] &= _FULL[left[last]]
+            state = mix((state ^ eight) + _STEP)
+            if last.any():
+                out[at[last]] = state[last]
+                more = ~last
+                at, place, left, state = at[more], place[more], left[more], state[more]
+            place, left = place + 8, left - 8
+        if len(long):
+            raw = memoryview(np.ascontiguousarray(self.data))
+            out[long] = np.frombuffer(b"".join(blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64)
+        return out
 
 
 def rows_of(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:

@@ -22,18 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrowtext import SpanHash, spread, text_slices
+from .arrowtext import SpanHash, mix, spread, text_slices
 from .scratch import documents
 from .units import UnitEncoder, distinct, encoder, load, tokenizer_path
 
 WINDOW, MEAN_BITS, MEMO_CHUNKS = 16, 9, 30_000
+_FIRST = np.uint64(0x9E3779B97F4A7C15)
 
 
 def chunk_cuts(data: np.ndarray, hashes: SpanHash) -> np.ndarray:
     """Places where the hash of the 16 bytes before them has nine leading zeros."""
     if len(data) <= WINDOW:
         return np.zeros(0, np.int64)
-    rolled = (hashes.sums[WINDOW:-1] - hashes.sums[: -WINDOW - 1]) * hashes.down[: len(data) - WINDOW]
+    eights = hashes.eights
+    rolled = mix(eights[: len(data) - WINDOW] * _FIRST + eights[8 : len(data) - WINDOW + 8])
     return np.flatnonzero(rolled >> np.uint64(64 - MEAN_BITS) == 0) + WINDOW
 
 

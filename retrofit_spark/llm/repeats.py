@@ -31,6 +31,7 @@ from .scratch import Scratch, documents
 WINDOW, GRAM = 50, 24
 RANGES, RANGE_BYTES, SORT_BYTES, BLOCK_BYTES = 128, 2 << 20, 1 << 20, 1 << 19
 _LOW = np.uint64((1 << 48) - 1)
+_SPREAD = np.uint64(0x5851F42D4C957F2D)
 
 _BLOCKS = "block string, doc_ids array<long>, bounds array<long>, data binary"
 BLOCK_SCHEMA = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("bounds", pa.list_(pa.int64())), ("data", pa.binary())])
@@ -95,7 +96,7 @@ def stretches(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     stops = valid.copy()
     stops[:-1] &= ~valid[1:] | (least[1:] != least[:-1]) | (row[1:] != row[:-1])
     lo, hi = np.flatnonzero(starts), np.flatnonzero(stops)
-    return lo, hi, row[lo], least[lo]
+    return lo, hi, row[lo], mix(least[lo] ^ _SPREAD)  # minima are small numbers: mixed, ranges of them are alike in size
 
 
 def _narrow(x: np.ndarray) -> tuple[int, bytes, int]:
