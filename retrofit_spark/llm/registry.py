@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, exact, lm, near, quality, repeats, secrets, store
+from . import bpe, counts, decontaminate, exact, fim, lm, near, quality, repeats, secrets, store
 
 
 def documents_of(spark, sf_dir):
@@ -49,6 +49,10 @@ def op10_near_dedup(spark, sf_dir):
     return near.near_classes(documents_of(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark, sf_dir):
+    return fim.digest(fim.fill_in_middle(documents_of(spark, sf_dir)))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
     "pipeline": pipeline,
 }
 ORACLES = {
@@ -93,4 +98,20 @@ named AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+    "op12_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l
+  FROM documents),
+k AS (
+  SELECT *, len(l) AS n, ('0x' || h[1:8])::BIGINT % (len(l) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(l) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, array_to_string(l[1:least(x, y)], '') AS a, array_to_string(l[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(l[greatest(x, y) + 1:n], '') AS z
+  FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p""",
 }
