@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, exact, fim, lm, near, quality, repeats, secrets, store
+from . import bpe, counts, decontaminate, exact, fim, lm, near, packing, quality, repeats, secrets, store
 
 
 def documents_of(spark, sf_dir):
@@ -53,6 +53,10 @@ def op12_fill_in_middle(spark, sf_dir):
     return fim.digest(fim.fill_in_middle(documents_of(spark, sf_dir)))
 
 
+def op13_best_fit_packing(spark, sf_dir):
+    return packing.digest(packing.pack(documents_of(spark, sf_dir)))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_best_fit_packing": op13_best_fit_packing,
     "pipeline": pipeline,
 }
 ORACLES = {
