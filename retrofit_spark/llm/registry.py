@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, counts, decontaminate, exact, fim, lm, near, packing, quality, repeats, secrets, store
+from . import bpe, counts, decontaminate, exact, fim, lm, mining, near, packing, quality, repeats, secrets, store
 
 
 def documents_of(spark, sf_dir):
@@ -49,6 +49,10 @@ def op10_near_dedup(spark, sf_dir):
     return near.near_classes(documents_of(spark, sf_dir))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return mining.mine(mining.of_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     return fim.digest(fim.fill_in_middle(documents_of(spark, sf_dir)))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_best_fit_packing": op13_best_fit_packing,
     "pipeline": pipeline,
@@ -103,6 +108,21 @@ named AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, a.label = b.label AS same, b.r, b.vec_id AS id, list_inner_product(a.e::DOUBLE[], b.e::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.ar, p.k ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
     "op12_fill_in_middle": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l
