@@ -4,7 +4,7 @@ Every window of 50 bytes is assigned to the least hash of its 24-byte substrings
 one such minimiser make a stretch. Equal windows have equal minimisers, so a window can only be
 repeated within its minimiser's group, which loses nothing and lets most of the corpus out of the sort:
 
-1. Blocks of text send their distinct stretches (minimiser, digest, least doc_id) to the minimiser's range.
+1. Blocks of text, GROUP at a time, send their distinct stretches (minimiser, digest, least doc_id) to the minimiser's range.
 2. A range finds stretches that an earlier document has whole, and those that share their minimiser
    with a different stretch of an earlier document.
 3. Only the latter are sent as text, once by each block with a row of the least doc_id, and a range sorts their suffixes by external induced
