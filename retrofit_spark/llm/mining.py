@@ -286,11 +286,12 @@ def _meet(dims: int, books, same: bool, want: int):
 
 def _searched(shards: DataFrame, blocks: DataFrame, dims: int, books, same: bool, want: int) -> DataFrame:
     """The first rows of each anchor and window, among all shards: anchor, window, score, id, rank."""
-    every = shards.select("shard").withColumnRenamed("shard", "other")
+    slots = max(1, shards.count())
     names = blocks.drop("shard").withColumnsRenamed({c: f"own_{c}" for c in ("labels", "vectors", "width")})
-    # Each block is dealt to all shards by name, then meets its shard in an equi-join.
-    dealt = names.withColumn("key", F.lit(0)).join(every.groupBy(F.lit(0).alias("key")).agg(F.collect_list("other").alias("others")), "key").withColumn("shard", F.explode("others")).drop("key", "others")
-    met = shards.join(dealt.hint("shuffle_hash"), "shard").mapInArrow(_meet(dims, books, same, want), "anchor long, window int, score long, id long")
+    # A block is dealt to every slot, and meets there the shards that their names put into it, all rows of a shard in turn.
+    dealt = names.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    placed = shards.withColumn("slot", F.pmod(F.xxhash64("shard"), F.lit(slots)).cast("int"))
+    met = placed.join(dealt.hint("merge"), "slot").drop("slot").mapInArrow(_meet(dims, books, same, want), "anchor long, window int, score long, id long")
     first = Window.partitionBy("anchor", "window").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return met.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= want)
 
