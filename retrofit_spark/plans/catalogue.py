@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, encode, features
 from ..functions import lookups as L
-from ..operators import areas, entries, grid, installs, joins, metrics, ml, profile, sampling
+from ..operators import areas, entries, grid, installs, joins, metrics, ml, neighbours, profile, sampling
 from . import jobs, views
 from .views import base, case, coords, epc, imd, mcs, oracle, table
 
@@ -818,6 +818,48 @@ def poisson_area(spark, d):
     return ml.poisson_rates(_area_rows(spark, d), "pumps", "homes", ["total_floor_area", "rating", "roof"])
 
 
+# ---------------------------------------------------------------- nearest neighbours
+
+
+@query("""WITH v AS (SELECT vec_id, label = 3 AS adopted, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS adopter, b.vec_id AS neighbour, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.adopted AND NOT b.adopted),
+r AS (SELECT *, row_number() OVER (PARTITION BY adopter ORDER BY distance, neighbour) AS rank FROM p)
+SELECT adopter, neighbour, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM r WHERE rank <= 5""")
+def nearest_non_adopters(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("adopted", c("label") == 3)
+    return metrics.rounded(neighbours.nearest_non_adopters(rows, "vec_id", "embedding", "adopted"), ["distance"], 6)
+
+
+_HOME_FEATURES = ["total_floor_area", "rooms", "rating", "roof"]
+_RATED = "CASE current_energy_rating " + " ".join(f"WHEN '{r}' THEN {7 - k}.0" for k, r in enumerate("ABCDEFG")) + " END"
+_ROOF = "CASE roof_energy_eff WHEN 'Poor | Very Good | N/A' THEN 3.5 WHEN 'Good |' THEN 4.0 WHEN 'Very Poor | Poor | Poor | Good' THEN 2.2 WHEN 'Average' THEN 3.0 ELSE 0.0 END"
+_HOMES = f"""l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uprn ORDER BY inspection_date DESC NULLS FIRST, brn DESC) AS i FROM base WHERE uprn IS NOT NULL) q WHERE i = 1),
+f AS (SELECT uprn, sector, hp, CAST(total_floor_area AS DOUBLE) AS a, {_number('number_habitable_rooms')} AS b, CAST({_RATED} AS DOUBLE) AS c, CAST({_ROOF} AS DOUBLE) AS d FROM l),
+m AS (SELECT uprn, sector, hp, """ + ", ".join(f"coalesce({x}, median({x}) OVER ()) AS {x}" for x in "abcd") + """ FROM f),
+v AS (SELECT uprn, sector, hp, [""" + ", ".join(f"CASE WHEN max({x}) OVER () > min({x}) OVER () THEN ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) ELSE 0 END" for x in "abcd") + """] AS e FROM m)"""
+
+
+def _homes(spark, d) -> DataFrame:
+    """The latest certificate of each property with its features, imputed and scaled, as one array."""
+    rows = _model_rows(spark, d).select("brn", *_HOME_FEATURES)
+    latest = entries.pick_entry(base(spark, d).where(c("uprn").isNotNull()), "uprn", "latest entry", date="inspection_date", tie="brn").select("uprn", "sector", "hp", "brn").join(rows, "brn")
+    whole = ml.impute(latest, ml.fit_medians(latest, _HOME_FEATURES))
+    return ml.min_max(whole, ml.fit_ranges(whole, _HOME_FEATURES)).select("uprn", "sector", "hp", F.array(*_HOME_FEATURES).alias("vector"))
+
+
+@query(f"""WITH {_HOMES},
+p AS (SELECT a.uprn AS adopter, b.uprn AS neighbour, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.hp AND NOT b.hp),
+r AS (SELECT neighbour, distance, row_number() OVER (PARTITION BY adopter ORDER BY distance, neighbour) AS rank FROM p),
+t AS (SELECT neighbour, count(*) AS times, sum(distance) AS away FROM r WHERE rank <= 5 GROUP BY neighbour)
+SELECT sector, count(*) AS homes, count(times) AS similar_homes, round(count(times) / count(*), 6) AS share, CAST(coalesce(sum(times), 0) AS BIGINT) AS times, round(sum(away) / sum(times), 6) AS mean_distance
+FROM v LEFT JOIN t ON v.uprn = t.neighbour WHERE NOT hp GROUP BY sector""", "base")
+def similar_areas(spark, d):
+    """Areas by how alike their homes without a heat pump are to homes with one."""
+    homes = _homes(spark, d)
+    found = neighbours.nearest_non_adopters(homes, "uprn", "vector", "hp")
+    return metrics.rounded(neighbours.similar_areas(found, homes, "uprn", "sector", "hp"), ["share", "mean_distance"], 6)
+
+
 # ---------------------------------------------------------------- the operators on tables of other shapes
 
 
