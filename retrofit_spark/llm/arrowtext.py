@@ -15,7 +15,6 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Spans of more bytes are hashed one by one.
 LONG_SPAN = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
