@@ -7,7 +7,7 @@ from math import prod
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, sampling
+from .svm import HingeModel, LinearSVM
 
 CLASSIFIERS = ("Logistic Regression", "Linear Support Vector Classifier")
 REGRESSORS = ("Random Forest Regressor", "Linear Regression", "Decision Tree Regressor", "Poisson Regression")
@@ -65,7 +66,7 @@ def estimator(name: str, features: str, label: str, n: int, params: dict | None
     own = {"featuresCol": features, "labelCol": label}
     made = {
         "Logistic Regression": lambda: LogisticRegression(**own, standardization=False, regParam=1.0 / max(n, 1)),
-        "Linear Support Vector Classifier": lambda: LinearSVC(**own, regParam=1e-4, tol=5e-4, maxIter=200),
+        "Linear Support Vector Classifier": lambda: LinearSVM(**own),
         "Random Forest Regressor": lambda: RandomForestRegressor(**own, numTrees=175, maxDepth=12, minInstancesPerNode=8, featureSubsetStrategy="5", subsamplingRate=1.0, seed=42),
         "Linear Regression": lambda: LinearRegression(**own),
         "Decision Tree Regressor": lambda: DecisionTreeRegressor(**own, maxDepth=15),
@@ -119,7 +120,7 @@ def predict(df: DataFrame, model, classification: bool) -> DataFrame:
         out = model.transform(df)
     elif isinstance(model, LogisticRegressionModel):
         out = df.withColumn("proba 1", 1 / (1 + F.exp(-score))).withColumn("proba 0", 1 - F.col("proba 1")).withColumn("prediction", (F.col("proba 1") > 0.5).cast("double"))
-    elif isinstance(model, LinearSVCModel):
+    elif isinstance(model, HingeModel):
         out = df.withColumn("prediction", (score > 0).cast("double"))
     else:
         out = df.withColumn("prediction", F.exp(score) if isinstance(model, GeneralizedLinearRegressionModel) else score)
@@ -196,7 +197,7 @@ def cross_validate(df: DataFrame, target: str, features: list[str], key: str, mo
 
 #: Points that searches draw from, in Spark's parameters; depth ends at Spark's bound of 30.
 GRIDS = {
-    "Linear Support Vector Classifier": {"regParam": [10.0**-k for k in range(6, 0, -1)], "tol": [x * 10.0**-k for k in range(5, 1, -1) for x in (1, 5)], "maxIter": [200]},
+    "Linear Support Vector Classifier": {"alpha": [10.0**-k for k in range(6, 0, -1)], "l1_ratio": [0.0, 0.15, 1.0], "tol": [x * 10.0**-k for k in range(5, 1, -1) for x in (1, 5)]},
     "Logistic Regression": {"regParam": [10.0**-k for k in range(6, 0, -1)], "elasticNetParam": [0.0, 0.5, 1.0]},
     "Random Forest Regressor": {
         "numTrees": [5, 10, 20, *range(25, 301, 25)], "maxDepth": [1, 3, 5, 7, 10, 20, 30], "featureSubsetStrategy": ["1", "2", "5", "10", "15", "20", "25", "auto", "sqrt"],
