@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DoubleType, NumericType, StructField, StructType
 
 from ..functions.encode import categories, one_hot
 from .entries import up_to_year
@@ -49,11 +49,66 @@ def value_count(df: DataFrame, key: str, feature: str, value=True, name: str | N
     return counted.groupBy(key).agg(F.count_if(F.col(feature) == F.lit(value)).alias(name))
 
 
-def medians(df: DataFrame, key: str, features: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """Median of every numeric column by group; `exact=False` takes the approximate percentile, for large groups."""
+#: Rows of a group beyond which its medians are selected by counts, and the buckets of a round of that.
+HEAVY, BUCKETS = 1_000_000, 1024
+
+
+def medians(df: DataFrame, key: str, features: list[str] | None = None, exact: bool = True, heavy: int = HEAVY) -> DataFrame:
+    """Median of every numeric column by group; `exact=False` takes the approximate percentile.
+
+    A group of more than `heavy` rows is held by no aggregate: its medians are selected by counts (heavy_medians()).
+    """
     features = features or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name != key]
     value = (lambda f: F.median(f"`{f}`")) if exact else (lambda f: F.percentile_approx(f"`{f}`", 0.5, 10_000).cast("double"))
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*(value(f).alias(f) for f in features))
+    keyed = df.where(F.col(key).isNotNull())
+    if not exact or not features:
+        return keyed.groupBy(key).agg(*(value(f).alias(f) for f in features))
+    many = keyed.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy).select("__key").collect()  # fewer than rows / heavy
+    if not many:
+        return keyed.groupBy(key).agg(*(value(f).alias(f) for f in features))
+    large = F.broadcast(df.sparkSession.createDataFrame(many, StructType([StructField("__key", df.schema[key].dataType)])))
+    light = keyed.join(large, F.col(key) == F.col("__key"), "left_anti").groupBy(key).agg(*(value(f).alias(f) for f in features))
+    return light.unionByName(heavy_medians(keyed.join(large, F.col(key) == F.col("__key"), "left_semi"), key, features, heavy))
+
+
+def heavy_medians(df: DataFrame, key: str, features: list[str], small: int = HEAVY) -> DataFrame:
+    """Exact medians of few large groups by rounds of counts.
+
+    A round cuts each group's and column's interval of values, first from least to largest, into BUCKETS, counts them in one aggregate, and keeps the
+    bucket that holds the middle. The two middle values are known when they lie in two buckets, or in one whose values are equal; a bucket
+    of `small` values or fewer is left to a plain median of its middle.
+    """
+    value = F.array(*(F.struct(F.lit(k).alias("f"), F.col(f"`{f}`").cast("double").alias("v")) for k, f in enumerate(features)))
+    long = df.select(F.col(key).alias("g"), F.explode(value).alias("x")).select("g", "x.f", "x.v").where(F.col("v").isNotNull())
+    open_ = [(r.g, r.f, r.lo, r.hi, (r.n - 1) // 2, r.n // 2) for r in long.groupBy("g", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()]
+    schema = StructType([StructField("g", df.schema[key].dataType)]).add("f", "integer").add("lo", "double").add("hi", "double").add("first", "long").add("second", "long")
+    found = {}
+    while open_:  # a row for each large group and column
+        state = F.broadcast(df.sparkSession.createDataFrame(open_, schema))
+        inside = long.join(state, ["g", "f"]).where(F.col("v").between(F.col("lo"), F.col("hi")))
+        place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BUCKETS))).otherwise(0)
+        counts = inside.groupBy("g", "f", "first", "second", place.cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("g", "f").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        middle = counts.withColumn("before", before).where((F.col("before") <= F.col("second")) & (F.col("before") + F.col("n") > F.col("first"))).orderBy("g", "f", "bucket")
+        held: dict = {}
+        for r in middle.collect():  # one or two buckets each
+            held.setdefault((r.g, r.f), []).append(r)
+        open_, last = [], []
+        for at, rows in held.items():
+            low, high = rows[0], rows[-1]
+            if len(rows) > 1 or low.lo == low.hi:
+                found[at] = (low.hi + high.lo) / 2
+            else:
+                (last if low.n <= small else open_).append((*at, low.lo, low.hi, low.first - low.before, low.second - low.before))
+        if last:
+            own = F.broadcast(df.sparkSession.createDataFrame(last, schema))
+            values = F.sort_array(F.collect_list("v"))  # at most `small`
+            few = long.join(own, ["g", "f"]).where(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy("g", "f").agg(values.alias("v"), F.first("first").alias("i"), F.first("second").alias("j"))
+            picked = few.select("g", "f", ((F.get("v", F.col("i").cast("int")) + F.get("v", F.col("j").cast("int"))) / 2).alias("m"))
+            found |= {(r.g, r.f): r.m for r in picked.collect()}
+    groups = [r.g for r in df.select(F.col(key).alias("g")).distinct().collect()]
+    out = StructType([StructField(key, df.schema[key].dataType)] + [StructField(f, DoubleType()) for f in features])
+    return df.sparkSession.createDataFrame([(g, *(found.get((g, k)) for k in range(len(features)))) for g in groups], out)
 
 
 def area_features(df: DataFrame, key: str, ordinal: list[str] = (), drop: list[str] = (), values: dict[str, list] | None = None) -> DataFrame:

@@ -47,14 +47,28 @@ def capped_count(n: Column) -> Column:
     return F.when(n >= 5, "5.0+").otherwise(n.cast("string"))
 
 
-def with_entry_counts(df: DataFrame, keys: dict[str, str], sentinel: str = UNKNOWN) -> DataFrame:
+#: Keys whose rows aren't shuffled, at most, and the number of rows beyond which a key is one.
+HEAVY_KEYS, HEAVY_ROWS = 1000, 1_000_000
+
+
+def with_entry_counts(df: DataFrame, keys: dict[str, str], heavy: int = HEAVY_ROWS) -> DataFrame:
     """For each new column, the number of rows with the same key: 1 to 4 or "5.0+"; null for a null key.
 
-    Counts are aggregated and joined, not windowed: the rows that share the sentinel key needn't meet in one task.
+    Counts are aggregated and joined, not windowed. Keys of more than `heavy` rows (the sentinel among them) are found first, at most
+    HEAVY_KEYS of them, the heaviest; their rows, and those without a key, get the count where they are and aren't shuffled, so no task of the join has
+    more than its share.
     """
     for name, key in keys.items():
         counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-        df = df.join(counts, F.col(key) == F.col("__key"), "left").withColumn(name, capped_count(F.col("__n"))).drop("__key", "__n")
+        top = counts.where(F.col("__n") > heavy).orderBy(F.desc("__n"), "__key").limit(HEAVY_KEYS).collect()
+        if not top:
+            here, rest = df.where(F.col(key).isNull()).withColumn("__n", F.lit(None).cast("long")), df.where(F.col(key).isNotNull())
+        else:
+            many = F.broadcast(df.sparkSession.createDataFrame(top, counts.schema))
+            here = df.join(many, F.col(key) == F.col("__key"), "left").where(F.col("__n").isNotNull() | F.col(key).isNull()).drop("__key")
+            rest = df.where(F.col(key).isNotNull()).join(many.drop("__n"), F.col(key) == F.col("__key"), "left_anti")
+        counted = rest.join(counts, F.col(key) == F.col("__key")).drop("__key")
+        df = here.unionByName(counted).withColumn(name, capped_count(F.col("__n"))).drop("__n")
     return df
 
 

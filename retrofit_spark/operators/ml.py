@@ -15,7 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegres
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, sampling
+from . import metrics, profile, sampling
 from .svm import HingeModel, LinearSVM
 
 CLASSIFIERS = ("Logistic Regression", "Linear Support Vector Classifier")
@@ -254,12 +254,9 @@ def singular_values(df: DataFrame, features: list[str], k: int = 10) -> DataFram
     """component, singular value and share of the sum of squares of the first k components of the scaled, uncentred features (truncated SVD)."""
     medians, preparation = fit_preparation(df, features, variance=None)
     ready = preparation.transform(impute(df, medians)).select("features")
+    names = [str(n) for n in range(len(features))]
     values = vector_to_array("features")
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    row = ready.agg(*(F.sum(values[i] * values[j]) for i, j in pairs)).head()  # the Gram matrix, one row of sums
-    gram = np.zeros((len(features), len(features)))
-    for (i, j), x in zip(pairs, row, strict=True):
-        gram[i, j] = gram[j, i] = x or 0.0
+    gram = profile.co_moments(ready.select(*(values[n].alias(name) for n, name in enumerate(names))), names, centred=False).products
     squares = np.maximum(np.linalg.eigvalsh(gram)[::-1], 0)
     total = float(squares.sum()) or 1.0
     return df.sparkSession.createDataFrame([(n, float(x) ** 0.5, float(x) / total) for n, x in enumerate(squares[:k])], "component int, singular_value double, share double")

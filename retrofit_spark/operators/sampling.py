@@ -26,11 +26,26 @@ def complete_groups(df: DataFrame, key: str, least: int, seed: int = 42, prefix:
 
 
 def sample_with_replacement(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """About n rows, drawn with replacement: the number varies as the draws do."""
+    """About n rows, drawn with replacement: the number varies as the draws do. For exactly n, exact_sample()."""
     total = df.count()
     return df.sample(withReplacement=True, fraction=n / max(total, 1), seed=seed)
 
 
+def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """Exactly n rows, drawn with replacement; none from an empty table. The same on any cluster: draw i takes the row whose place, by the seeded hash of its key, is a hash of i.
+
+    Rows get their places in two levels, draws are made where they are needed and added up by place, and the two are joined. Keys must be unique.
+    """
+    placed = _ranked(df, seeded(F.col(key), seed), key).withColumn("__n", F.col("__n").cast("long"))
+    total = df.count()
+    if not total:
+        return df
+    draw = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))), 1, 14), 16, 10).cast("long"), F.lit(total)) + 1
+    draws = df.sparkSession.range(n).groupBy(draw.alias("__place")).agg(F.count(F.lit(1)).alias("__times"))
+    taken = placed.join(draws, F.col("__i") == F.col("__place"))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).drop("__i", "__n", "__place", "__times", "__copy")
+
+
 def _ranked(df: DataFrame, order: Column, key: str, stratum: Column | None = None, prefix: int = 3, reach: int | None = None) -> DataFrame:
     """Adds __i, the row's place in its stratum by hexadecimal `order` and then `key`, and __n, the stratum's rows.
 

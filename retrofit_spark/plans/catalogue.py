@@ -885,6 +885,34 @@ def event_counts(spark, d):
     return entries.with_entry_counts(table(spark, d, "events"), {"n_user": "user_id"}).select("event_id", "n_user")
 
 
+_SHARED = "CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END"
+
+
+@query(f"SELECT {_SHARED} AS supplier, round(median(l_quantity), 6) AS l_quantity, round(median(l_extendedprice), 6) AS l_extendedprice, round(median(CASE WHEN l_discount > 0.02 THEN l_tax END), 6) AS l_tax FROM lineitem GROUP BY 1")
+def median_of_a_large_group(spark, d):
+    """Medians where a third of all rows are one group, which no aggregate holds."""
+    names = ["l_quantity", "l_extendedprice", "l_tax"]
+    rows = table(spark, d, "lineitem").withColumns({"supplier": F.expr(_SHARED), "l_tax": F.when(c("l_discount") > 0.02, c("l_tax"))}).select("supplier", *names)
+    return metrics.rounded(areas.medians(rows, "supplier", names, heavy=1000), names, 6)
+
+
+@query("SELECT event_id, CASE WHEN k IS NULL THEN NULL WHEN n >= 5 THEN '5.0+' ELSE CAST(n AS VARCHAR) END AS n_user FROM (SELECT event_id, k, count(*) OVER (PARTITION BY k) AS n FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'unknown' WHEN event_id % 31 <> 0 THEN CAST(user_id AS VARCHAR) END AS k FROM events) p) q")
+def entry_counts_of_a_heavy_key(spark, d):
+    """Entry counts where a third of all rows have the key "unknown"."""
+    key = F.when(c("event_id") % 3 == 0, "unknown").when(c("event_id") % 31 != 0, c("user_id").cast("string"))
+    return entries.with_entry_counts(table(spark, d, "events").withColumn("k", key), {"n_user": "k"}, heavy=1000).select("event_id", "n_user")
+
+
+@query("""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '42'), o_orderkey) AS place, count(*) OVER () AS total FROM orders),
+t AS (SELECT max(total) AS total FROM p),
+d AS (SELECT CAST('0x' || substr(md5('42:' || CAST(i AS VARCHAR)), 1, 14) AS BIGINT) % total + 1 AS place FROM t, unnest(range(5000)) AS r(i))
+SELECT o_orderkey, count(*) AS times FROM d JOIN p ON d.place = p.place GROUP BY o_orderkey""")
+def exact_sample(spark, d):
+    """5,000 orders drawn with replacement, and how often each was."""
+    drawn = sampling.exact_sample(table(spark, d, "orders").select("o_orderkey"), 5000, "o_orderkey")
+    return drawn.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("times"))
+
+
 # ---------------------------------------------------------------- flagship
 
 
