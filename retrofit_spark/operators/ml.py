@@ -11,11 +11,12 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression, GeneralizedLinearRegressionModel, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression, GeneralizedLinearRegressionModel, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics, profile, sampling
+from .forest import DeepForest
 from .svm import HingeModel, LinearSVM
 
 CLASSIFIERS = ("Logistic Regression", "Linear Support Vector Classifier")
@@ -67,7 +68,7 @@ def estimator(name: str, features: str, label: str, n: int, params: dict | None
     made = {
         "Logistic Regression": lambda: LogisticRegression(**own, standardization=False, regParam=1.0 / max(n, 1)),
         "Linear Support Vector Classifier": lambda: LinearSVM(**own),
-        "Random Forest Regressor": lambda: RandomForestRegressor(**own, numTrees=175, maxDepth=12, minInstancesPerNode=8, featureSubsetStrategy="5", subsamplingRate=1.0, seed=42),
+        "Random Forest Regressor": lambda: DeepForest(**own),
         "Linear Regression": lambda: LinearRegression(**own),
         "Decision Tree Regressor": lambda: DecisionTreeRegressor(**own, maxDepth=15),
         "Poisson Regression": lambda: GeneralizedLinearRegression(**own, family="poisson", link="log"),
@@ -195,13 +196,13 @@ def cross_validate(df: DataFrame, target: str, features: list[str], key: str, mo
     return df.sparkSession.createDataFrame(rows, "fold int, train_score double, test_score double, train_scores map<string,double>, test_scores map<string,double>")
 
 
-#: Points that searches draw from, in Spark's parameters; depth ends at Spark's bound of 30.
+#: Points that searches draw from.
 GRIDS = {
     "Linear Support Vector Classifier": {"alpha": [10.0**-k for k in range(6, 0, -1)], "l1_ratio": [0.0, 0.15, 1.0], "tol": [x * 10.0**-k for k in range(5, 1, -1) for x in (1, 5)]},
     "Logistic Regression": {"regParam": [10.0**-k for k in range(6, 0, -1)], "elasticNetParam": [0.0, 0.5, 1.0]},
     "Random Forest Regressor": {
-        "numTrees": [5, 10, 20, *range(25, 301, 25)], "maxDepth": [1, 3, 5, 7, 10, 20, 30], "featureSubsetStrategy": ["1", "2", "5", "10", "15", "20", "25", "auto", "sqrt"],
-        "minInstancesPerNode": [2**k for k in range(6)], "bootstrap": [False, True],
+        "n_trees": [5, 10, 20, *range(25, 301, 25)], "max_depth": [1, 3, 5, 7, *range(10, 101, 10), None], "max_features": [1, 2, 5, 10, 15, 20, 25, "auto", "sqrt"],
+        "min_leaf": [2**k for k in range(6)], "min_split": [2, 5, 10, 15, 20], "bootstrap": [False, True],
     },
     "Decision Tree Regressor": {"maxDepth": [10, 20, 30], "minWeightFractionPerNode": [0.05, 0.1, 0.3, 0.49]},
     "Linear Regression": {"regParam": [0.0, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]},

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .ml import poisson_rates, poisson_tail
-from .staging import staged
+from .staging import release, staged
 
 TOLERANCE, STEPS = 1e-10, 500
 
@@ -50,13 +50,15 @@ def solve_smooth(system: DataFrame, pairs: DataFrame, strength: float, tolerance
     ready = system.join(degree, "cell", "left").select("cell", (F.col("weight") + strength * F.coalesce("n", F.lit(0))).cast("double").alias("diagonal"), F.col("pull").cast("double").alias("rest"))
     scaled = F.when(F.col("diagonal") > 0, F.col("rest") / F.col("diagonal")).otherwise(0.0)
     state, sums = _observed(ready.withColumns({"effect": F.lit(0.0), "way": scaled}), size=scaled * F.col("rest"))
-    pairs, first, now = staged(pairs.select("cell", "neighbour")), sums["size"], sums["size"]
+    pairs, first, now, turned_from = staged(pairs.select("cell", "neighbour")), sums["size"], sums["size"], state
     for _ in range(steps):
         if now <= tolerance**2 * first or not now:
             return state.select("cell", "effect")
         theirs = pairs.join(state.select(F.col("cell").alias("neighbour"), F.col("way").alias("theirs")), "neighbour").groupBy("cell").agg(F.sum("theirs").alias("theirs"))
         turned = state.join(theirs, "cell", "left").withColumn("turned", F.col("diagonal") * F.col("way") - strength * F.coalesce("theirs", F.lit(0.0))).drop("theirs")
-        turned, sums = _observed(turned, along=F.col("way") * F.col("turned"))
+        before, (turned, sums) = turned_from, _observed(turned, along=F.col("way") * F.col("turned"))
+        release(before)
+        turned_from = turned
         if sums["along"] <= 0:  # what is left lies where the system says nothing
             return state.select("cell", "effect")
         step = now / sums["along"]

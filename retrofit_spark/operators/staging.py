@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -10,12 +11,24 @@ from pyspark.sql import DataFrame
 def staged(df: DataFrame) -> DataFrame:
     """The frame, worked out once and written to the folder that the session names in spark.checkpoint.dir; on one machine, where that is unset, to a temporary one."""
     spark = df.sparkSession
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not context.getCheckpointDir():
-        if not context.master.startswith("local[") and context.master != "local":
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-stages-")
-    if folder and not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Frees staged frames that nothing reads any more; others are left alone."""
+    for df in frames:
+        at = getattr(df, "_staged_at", None)
+        if at:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
