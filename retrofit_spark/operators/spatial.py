@@ -90,8 +90,8 @@ def spatial_poisson(areas: DataFrame, pairs: DataFrame, key: str, count: str, ex
     for _ in range(rounds):
         mean = F.col("__plain") * F.exp("effect")
         system = state.select(F.col(key).alias("cell"), mean.alias("weight"), (mean * F.col("effect") + F.col(count) - mean).alias("pull"))
-        found = solve_smooth(system, pairs, strength).withColumnRenamed("effect", "__next")
-        state, sums = _observed_most(state.join(found, F.col(key) == F.col("cell")).drop("cell"), F.abs(F.col("__next") - F.col("effect")))
+        found = solve_smooth(system, pairs, strength).select(F.col("cell").alias("__cell"), F.col("effect").alias("__next"))
+        state, sums = _observed_most(state.join(found, F.col(key) == F.col("__cell")).drop("__cell"), F.abs(F.col("__next") - F.col("effect")))
         state = state.withColumn("effect", F.col("__next")).drop("__next")
         if sums < 1e-8:
             break

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, encode, features
 from ..functions import lookups as L
-from ..operators import areas, entries, grid, installs, joins, metrics, ml, neighbours, profile, sampling
+from ..operators import areas, entries, grid, installs, joins, metrics, ml, neighbours, profile, sampling, spatial
 from . import jobs, views
 from .views import base, case, coords, epc, imd, mcs, oracle, table
 
@@ -818,6 +818,38 @@ def poisson_area(spark, d):
     return ml.poisson_rates(_area_rows(spark, d), "pumps", "homes", ["total_floor_area", "rating", "roof"])
 
 
+# ---------------------------------------------------------------- areas and their neighbours
+
+_NEAR = f"""{_CELL},
+a AS (SELECT cell, CAST(avg(CAST(hp AS INT)) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS w, CAST(split_part(cell, ':', 1) AS BIGINT) AS q, CAST(split_part(cell, ':', 2) AS BIGINT) AS r FROM cells GROUP BY cell),
+n AS (SELECT x.cell, y.cell AS neighbour FROM a x JOIN a y ON greatest(abs(x.q - y.q), abs(x.r - y.r), abs(x.q + x.r - y.q - y.r)) = 1)"""
+
+
+def _cell_shares(spark, d) -> DataFrame:
+    pumps = c("hp").cast("int")
+    rows = _cells(spark, d).withColumn("rating", features.rating_number(c("current_energy_rating")))
+    return rows.groupBy("cell").agg(F.avg(pumps).alias("share"), F.count(F.lit(1)).alias("homes"), F.sum(pumps).alias("pumps"), F.coalesce(F.avg("rating"), F.lit(0.0)).alias("rating"))
+
+
+@query(f"WITH {_NEAR} SELECT cell, neighbour FROM n", "coords", "base")
+def neighbouring_cells(spark, d):
+    return spatial.neighbouring_cells(_cell_shares(spark, d), "cell")
+
+
+@query(f"""WITH {_NEAR} SELECT cell, round(u, 6) AS effect FROM (
+  WITH RECURSIVE it AS (
+    SELECT 0 AS k, cell, y AS u FROM a
+    UNION ALL
+    SELECT i.k + 1, a.cell, (a.w * a.y + 5.0 * coalesce(sum(j.u), 0)) / (a.w + 5.0 * count(j.u)) FROM it i JOIN a ON i.cell = a.cell LEFT JOIN n ON n.cell = a.cell LEFT JOIN it j ON j.cell = n.neighbour
+    WHERE i.k < 300 GROUP BY i.k, a.cell, a.w, a.y)
+  SELECT cell, u FROM it WHERE k = 300) z""", "coords", "base")
+def smoothed_cells(spark, d):
+    """Shares of heat pumps smoothed over neighbouring cells; SQL finds the same by three hundred rounds of averaging."""
+    cells = _cell_shares(spark, d)
+    out = spatial.smoothed_effects(cells, spatial.neighbouring_cells(cells, "cell"), "cell", "share", "homes", 5.0)
+    return metrics.rounded(out, ["effect"], 6)
+
+
 # ---------------------------------------------------------------- nearest neighbours
 
 
