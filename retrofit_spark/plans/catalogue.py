@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import clean, encode, features
 from ..functions import lookups as L
 from ..operators import areas, entries, grid, installs, joins, metrics, ml, neighbours, profile, sampling, spatial
-from . import jobs, views
+from ..operators.staging import new_path
+from . import jobs, training, views
 from .views import base, case, coords, epc, imd, mcs, oracle, table
 
 QUERIES = {}
@@ -803,6 +804,24 @@ def model_scores(spark, d):
     return ml.evaluate_models(_model_rows(spark, d), ["hp"], _MODEL_FEATURES, "brn", ml.CLASSIFIERS)[0]
 
 
+@query()
+def trained_versions(spark, d):
+    """Metrics, by version, model and target, of the predictions that the training driver has stored for all three questions."""
+    numbers = _model_rows(spark, d).select("brn", *(c(f).alias(f"x_{f}") for f in _MODEL_FEATURES))
+    homes = base(spark, d).withColumn("HP_INSTALLED", c("hp")).join(numbers, "brn")
+    sets = {}
+    for version in ("Current HP Status", "Future HP Status"):
+        rows, targets = jobs.labelled(homes, version, key="uprn", tie="brn")
+        sets[version] = training.LabelledSet(rows, tuple(targets), tuple(f"x_{f}" for f in _MODEL_FEATURES), "brn")
+    df = base(spark, d).select("sector", "glazed_type", "current_energy_rating", *_AREA_COLUMNS, "uprn", "hp", "inspection_date", "brn")
+    rows, targets = jobs.labelled(jobs.growth_by_area(df, "sector", 1997, 1999, ordinal=["current_energy_rating", "hp"], values=_GLAZED, key="uprn", installed="hp", date="inspection_date", tie="brn"), "HP Growth by Area", drop=("HP_COVERAGE_CURRENT",))
+    sets["HP Growth by Area"] = training.LabelledSet(rows, tuple(targets), tuple(f for f in profile.numeric_columns(rows) if f not in targets), "sector")
+    models = {v: ("Linear Regression",) if v == "HP Growth by Area" else ("Logistic Regression",) for v in sets}
+    root = new_path(spark)
+    training.train_parts(sets, root, models)
+    return training.stored_metrics(spark, sets, root, models)
+
+
 @query()
 def truncated_svd(spark, d):
     return ml.singular_values(_model_rows(spark, d), _MODEL_FEATURES)
