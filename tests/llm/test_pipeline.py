@@ -4,6 +4,9 @@ import pytest
 
 import corpus_pipeline
 from retrofit_spark.llm import registry
+from retrofit_spark.llm.units import load, tokenizer_path
+
+from .conftest import SCHEMA, rows_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +29,22 @@ def test_run(spark):
     assert all(a[1] >= b[1] > 0 for a, b in zip(seen, seen[1:], strict=False)), seen
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == seen[-1][1] and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_run_on_odd_tables(spark, tmp_path, texts, kind):
+    """Null and repeated ids, rows that repeat, null, empty and very long texts, clashing columns; and no rows at all."""
+    rows = rows_of([*texts, "y" * 3_000_000 + " z", "hello world"]) if kind == "odd" else []
+    if rows:
+        rows += [rows[6], rows[30], (None, *rows[31][1:]), (None, "words without an id " * 30, *rows[0][2:]), (rows[32][0], "other words of one id " * 20, *rows[0][2:])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(out) == bool(rows) and {r.doc_id for r in out} <= {r[0] for r in rows}
+    tokenizer = load(tokenizer_path("byte_bpe_50k.json"))
+    counts = {}
+    for row in rows:
+        counts.setdefault(row[0], set()).add(len(tokenizer.encode(row[1] or "", add_special_tokens=False).ids))
+    assert all(r.n_tokens in counts[r.doc_id] for r in out)
