@@ -44,6 +44,8 @@ SIZE, END_ID, TOKENIZER = 2048, 0, "byte_bpe_50k.json"
 LARGE_PARTS = (8, 4, 3, 2)
 #: So many of a configuration's smallest places are left to the last step, which fits actual lengths.
 OPEN = (0, 1, 2)
+#: Bytes of text that are encoded at once: working arrays are some dozens of times as large.
+ENCODED = 1 << 20
 #: Groups of large lengths: more waste less room and take longer to solve, on the driver, at any size of corpus.
 GROUPS = 128
 #: Steps of column generation for each group; each step leaves a plan that is whole, so an end before the optimum costs room only.
@@ -67,7 +69,7 @@ def numbered(lengths: np.ndarray, seen: np.ndarray) -> np.ndarray:
 def _cut(path: str, end_id: int, size: int):
     def run(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for rows, data, offsets in text_slices(batches):
+        for rows, data, offsets in text_slices(batches, limit=ENCODED):
             ids, at = encoder(path).encode(data, offsets)
             whole = np.insert(ids, at[1:], end_id)
             ends = at[1:] + np.arange(1, rows.num_rows + 1)
