@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 from math import prod
 
 import numpy as np
@@ -263,12 +264,32 @@ def singular_values(df: DataFrame, features: list[str], k: int = 10) -> DataFram
     return df.sparkSession.createDataFrame([(n, float(x) ** 0.5, float(x) / total) for n, x in enumerate(squares[:k])], "component int, singular_value double, share double")
 
 
+def _log_factorial(n: Column) -> Column:
+    """By Stirling's series ten places further on, where its error is below 1e-12."""
+    x = n + 11
+    series = (x - 0.5) * F.log(x) - x + F.lit(0.9189385332046727) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    return series - reduce(lambda a, b: a + b, (F.log(n + k) for k in range(1, 11)))
+
+
 def poisson_tail(count: Column, mean: Column) -> Column:
-    """Probability that a Poisson variable of that mean exceeds the count; null where either is. Terms are summed by their logarithms."""
-    start = F.struct((-mean).alias("log"), F.exp(-mean).alias("sum"))
-    step = lambda a, i: F.struct((a["log"] + F.log(mean / i)).alias("log"), (a["sum"] + F.exp(a["log"] + F.log(mean / i))).alias("sum"))
-    below = F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count.cast("int"))).otherwise(F.array().cast("array<int>")), start, step)["sum"]
-    return F.when(count.isNotNull() & mean.isNotNull(), F.greatest(F.lit(0.0), 1 - below))
+    """Probability that a Poisson variable of that mean exceeds the count; null where either is.
+
+    Terms are summed away from the count, upwards if it is at the mean or beyond, so that small tails keep their digits; some dozen
+    standard deviations of them are enough, whatever the count.
+    """
+    c, m = count.cast("double"), mean.cast("double")
+    reach = F.sequence(F.lit(1), F.ceil(12 * F.sqrt(m) + 60).cast("int"))
+
+    def summed(first: Column, factor) -> Column:
+        start = F.struct(first.alias("term"), first.alias("sum"))
+        step = lambda a, k: F.struct((a["term"] * factor(k)).alias("term"), (a["sum"] + a["term"] * factor(k)).alias("sum"))
+        return F.aggregate(reach, start, step)["sum"]
+
+    term = lambda n: F.exp(n * F.log(m) - m - _log_factorial(n))
+    above = summed(term(c + 1), lambda k: m / (c + 1 + k))
+    below = summed(term(c), lambda k: F.greatest(c + 1 - k, F.lit(0.0)) / m)
+    known = F.when(c < 0, 1.0).when(m <= 0, 0.0).when(c >= m, above).otherwise(F.greatest(F.lit(0.0), 1 - below))
+    return F.when(count.isNotNull() & mean.isNotNull(), known)
 
 
 def poisson_rates(df: DataFrame, count: str, exposure: str, features: list[str], threshold: float | None = None) -> DataFrame:

@@ -68,3 +68,18 @@ def test_truncated_svd_of_many_columns(spark):
     names = [f"c{k}" for k in range(40)]
     got = [r.singular_value for r in ml.singular_values(spark.createDataFrame(x.tolist(), names), names, 40).orderBy("component").collect()]
     assert got == pytest.approx(np.linalg.svd(x, compute_uv=False).tolist(), rel=1e-6)
+
+
+def test_small_and_large_poisson_tails(spark):
+    """Against sums in fractions; a tail of 1e-40 has its digits, and a count of a million needs no array of a million."""
+    from fractions import Fraction
+    from math import exp, factorial
+
+    rows = [(c, m) for m in (0.25, 1.0, 7.5, 30.0) for c in (0, 1, 5, 20, 60)]
+    df = spark.createDataFrame([*rows, (-1, 2.0), (3, 0.0), (None, 1.0), (2, None), (1_000_000, 1e6), (999_000, 1e6)], "c long, m double")
+    got = [r.p for r in df.coalesce(1).select(ml.poisson_tail(df["c"], df["m"]).alias("p")).collect()]
+    for (c, m), p in zip(rows, got, strict=False):
+        tail = float(sum(Fraction(m) ** i / factorial(i) for i in range(c + 1, c + 200))) * exp(-m)
+        assert p == pytest.approx(tail, rel=1e-10), (c, m)
+    assert got[len(rows) : len(rows) + 4] == [1.0, 0.0, None, None]
+    assert got[-2] == pytest.approx(0.49973, abs=1e-4) and got[-1] == pytest.approx(0.8413, abs=1e-3)
