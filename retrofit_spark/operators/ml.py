@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import metrics, profile, sampling
 from .forest import DeepForest
+from .staging import staged
 from .svm import HingeModel, LinearSVM
 
 CLASSIFIERS = ("Logistic Regression", "Linear Support Vector Classifier")
@@ -145,14 +146,14 @@ def train_and_predict(df: DataFrame, target: str, features: list[str], key: str,
 
 
 def evaluate_models(df: DataFrame, targets: list[str], features: list[str], key: str, models: tuple[str, ...], **options) -> tuple[DataFrame, dict[tuple[str, str], DataFrame]]:
-    """Every model on every target: (model, target, training set, its metrics as a map), and the predictions by (model, target).
+    """Every model on every target: (model, target, training set, its metrics as a map), and the predictions, written once, by (model, target).
 
     Classes: accuracy, precision, recall, f1. Numbers: mse, rmse, max_error, bin_accuracy.
     """
     rows, found = None, {}
     for model in models:
         for target in targets:
-            out = found[model, target] = train_and_predict(df, target, features, key, model, **options)
+            out = found[model, target] = staged(train_and_predict(df, target, features, key, model, **options))
             measure = metrics.classification_metrics if model in CLASSIFIERS else metrics.regression_metrics
             for training in (True, False):
                 own = measure(out.where(F.col("training set") == training), target, f"{target}: prediction")
