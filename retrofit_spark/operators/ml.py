@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import metrics, profile, sampling
 from .forest import DeepForest
-from .staging import staged
+from .staging import at_rest, release, staged
 from .svm import HingeModel, LinearSVM
 
 CLASSIFIERS = ("Logistic Regression", "Linear Support Vector Classifier")
@@ -164,9 +164,9 @@ def evaluate_models(df: DataFrame, targets: list[str], features: list[str], key:
 
 
 def _folds(df: DataFrame, target: str, features: list[str], key: str, folds: int, seed: int):
-    """(training rows, test rows, number of training rows) of each fold, with features prepared on the training rows alone."""
+    """(training rows, test rows, number of training rows) of each fold, with features prepared on the training rows alone. Rows are worked out once for all folds."""
     fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))
-    marked = df.withColumns({"__fold": fold, "label": F.col(f"`{target}`").cast("double")})
+    marked = staged(df.select(*(F.col(f"`{f}`") for f in features), fold.alias("__fold"), F.col(f"`{target}`").cast("double").alias("label")))
     for k in range(folds):
         medians, preparation = fit_preparation(marked.where(F.col("__fold") != k), features)
         ready = preparation.transform(impute(marked, medians)).select("features", "label", "__fold").cache()

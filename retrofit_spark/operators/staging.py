@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 
 def new_path(spark: SparkSession) -> str:
@@ -21,14 +23,22 @@ def new_path(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The frame, worked out once and written to a new place."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame, worked out once and written to a new place. Columns of nulls without a type aren't written, but come back."""
+    path, void = new_path(df.sparkSession), {f.name for f in df.schema if f.dataType == NullType()}
+    kept = df.drop(*void) if void else df
+    kept.write.parquet(path)
+    out = df.sparkSession.read.schema(kept.schema).parquet(path)
+    if void:
+        out = out.select(*(F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns))
     out._staged_at = path
     return out
 
 
+def at_rest(df: DataFrame) -> DataFrame:
+    """The frame itself if it is a staged one, else staged."""
+    return df if getattr(df, "_staged_at", None) else staged(df)
+
+
 def release(*frames: DataFrame) -> None:
     """Frees staged frames that nothing reads any more; others are left alone."""
     for df in frames:
