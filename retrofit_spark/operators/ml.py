@@ -131,10 +131,15 @@ def predict(df: DataFrame, model, classification: bool) -> DataFrame:
 
 
 def train_and_predict(df: DataFrame, target: str, features: list[str], key: str, model: str, test_share: float = 0.1, variance: float | None = 0.9, fit_on: str = "train", params: dict | None = None) -> DataFrame:
-    """All rows with "training set", "<target>: prediction" and "<target>: error". Preparation is fitted on the training rows, or on all with fit_on="all"."""
-    classification = model in CLASSIFIERS
-    known = df.where(F.col(f"`{target}`").isNotNull())
-    marked = sampling.split(known, key, test_share, target if classification else None).withColumn("__label", F.col(f"`{target}`").cast("double"))
+    """All rows with "training set", "<target>: prediction" and "<target>: error". Preparation is fitted on the training rows, or on all with fit_on="all".
+
+    Fitting takes some dozen passes over the rows, so these are written once, and once more with their split.
+    """
+    classification, rows = model in CLASSIFIERS, at_rest(df)
+    known = rows.where(F.col(f"`{target}`").isNotNull())
+    marked = staged(sampling.split(known, key, test_share, target if classification else None).withColumn("__label", F.col(f"`{target}`").cast("double")))
+    if rows is not df:
+        release(rows)
     train = marked.where(F.col("`training set`"))
     medians, preparation = fit_preparation(train if fit_on == "train" else marked, features, variance)
     ready = preparation.transform(impute(marked, medians))
@@ -150,7 +155,7 @@ def evaluate_models(df: DataFrame, targets: list[str], features: list[str], key:
 
     Classes: accuracy, precision, recall, f1. Numbers: mse, rmse, max_error, bin_accuracy.
     """
-    rows, found = None, {}
+    df, rows, found = at_rest(df), None, {}
     for model in models:
         for target in targets:
             out = found[model, target] = staged(train_and_predict(df, target, features, key, model, **options))
