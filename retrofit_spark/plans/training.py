@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics, ml
+from ..operators.staging import release, staged
 
 #: Models of each version, and parameters of each model where they aren't its own.
 MODELS = {
@@ -47,15 +48,20 @@ def train_parts(sets: dict[str, LabelledSet], root: str, models: dict[str, tuple
     """
     made = []
     for version, own in sets.items():
+        rows = None  # of this version, written once if any part of it has to be made
         for model in (models or MODELS)[version]:
             for target in own.targets:
                 spark, path = own.rows.sparkSession, part_path(root, version, model, target)
                 if finished(spark, path) and not again:
                     continue
-                out = ml.train_and_predict(own.rows, target, list(own.features), own.key, model, params=(params or TUNED).get(model), **options)
+                if rows is None:
+                    rows = staged(own.rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys((own.key, *own.targets, *own.features)))))
+                out = ml.train_and_predict(rows, target, list(own.features), own.key, model, params=(params or TUNED).get(model), **options)
                 kept = [own.key, target, "training set", f"{target}: prediction", f"{target}: error", *(c for c in out.columns if c.startswith("proba "))]
                 out.select(*(F.col(f"`{c}`") for c in kept)).write.mode("overwrite").parquet(path)
                 made.append((version, model, target))
+        if rows is not None:
+            release(rows)
     return made
 
 
