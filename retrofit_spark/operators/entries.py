@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lookups import UNKNOWN
+from .staging import staged
 
 
 def up_to_year(df: DataFrame, year: int | str | None, date: str = "INSPECTION_DATE", up_to: bool = True) -> DataFrame:
@@ -43,32 +44,40 @@ def filter_by_year(df: DataFrame, key: str, year: int | str | None, up_to: bool
     return dated if selection is None else pick_entry(dated, key, selection, **columns)
 
 
+#: The count from which all counts are alike.
+MANY = 5
+
+
 def capped_count(n: Column) -> Column:
-    return F.when(n >= 5, "5.0+").otherwise(n.cast("string"))
+    return F.when(n >= MANY, "5.0+").otherwise(n.cast("string"))
 
 
-#: Keys whose rows aren't shuffled, at most, and the number of rows beyond which a key is one.
+#: Keys whose rows are spread, at most, and the number of rows beyond which a key is one.
 HEAVY_KEYS, HEAVY_ROWS = 1000, 1_000_000
 
 
 def with_entry_counts(df: DataFrame, keys: dict[str, str], heavy: int = HEAVY_ROWS) -> DataFrame:
     """For each new column, the number of rows with the same key: 1 to 4 or "5.0+"; null for a null key.
 
-    Counts are aggregated and joined, not windowed. Keys of more than `heavy` rows (the sentinel among them) are found first, at most
-    HEAVY_KEYS of them, the heaviest; their rows, and those without a key, get the count where they are and aren't shuffled, so no task of the join has
-    more than its share.
+    Counts are aggregated and joined, not windowed: once over the given rows for each key, and in one pass over the rows for all keys. Only keys of few rows are joined,
+    since all others have "5.0+". Rows of keys of more than `heavy` rows (the sentinel among them; at most HEAVY_KEYS keys, the heaviest) and those without a key meet nothing
+    in this join and are spread by the partition that they come from, so no task of it has more than its share.
     """
+    given, made = df, set()
     for name, key in keys.items():
-        counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-        top = counts.where(F.col("__n") > heavy).orderBy(F.desc("__n"), "__key").limit(HEAVY_KEYS).collect()
-        if not top:
-            here, rest = df.where(F.col(key).isNull()).withColumn("__n", F.lit(None).cast("long")), df.where(F.col(key).isNotNull())
-        else:
-            many = F.broadcast(df.sparkSession.createDataFrame(top, counts.schema))
-            here = df.join(many, F.col(key) == F.col("__key"), "left").where(F.col("__n").isNotNull() | F.col(key).isNull()).drop("__key")
-            rest = df.where(F.col(key).isNotNull()).join(many.drop("__n"), F.col(key) == F.col("__key"), "left_anti")
-        counted = rest.join(counts, F.col(key) == F.col("__key")).drop("__key")
-        df = here.unionByName(counted).withColumn(name, capped_count(F.col("__n"))).drop("__n")
+        source, n = df if key in made else given, F.col("__n")
+        counts = source.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
+        counts = staged(counts.where((n < MANY) | (n > heavy)))
+        few = counts.where(n < MANY).select("__key", F.lit(0).alias("__to"), "__n")
+        top = counts.where((n >= MANY) & (n > heavy)).orderBy(n.desc(), "__key").limit(HEAVY_KEYS).select(F.col("__key").alias("__top")).collect()
+        alone = F.col(key).isNull()
+        if top:
+            df = df.join(F.broadcast(df.sparkSession.createDataFrame(top, few.select(F.col("__key").alias("__top")).schema)), F.col(key) == F.col("__top"), "left")
+            alone |= F.col("__top").isNotNull()
+        df = df.withColumns({"__at": F.when(~alone, F.col(key)), "__from": F.when(alone, F.spark_partition_id()).otherwise(0)})
+        df = df.join(few, (F.col("__at") == F.col("__key")) & (F.col("__from") == F.col("__to")), "left")
+        df = df.withColumn(name, F.when(F.col(key).isNotNull(), capped_count(F.coalesce(n, F.lit(MANY))))).drop("__top", "__at", "__from", "__key", "__to", "__n")
+        made.add(name)
     return df
 
 

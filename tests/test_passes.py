@@ -1,8 +1,10 @@
 """How often operators work out the rows that they are given, which may be a query over large tables."""
 
+from collections import Counter
+
 import pytest
 
-from retrofit_spark.operators import ml
+from retrofit_spark.operators import entries, ml
 from retrofit_spark.plans import training
 
 FEATURES = ["a", "b"]
@@ -56,3 +58,15 @@ def test_training(counted, tmp_path):
     models = {"Current HP Status": ("Logistic Regression",), "HP Growth by Area": ("Linear Regression",)}
     assert len(training.train_parts(sets, str(tmp_path), models)) == 3 and seen.value == 120
     assert training.train_parts(sets, str(tmp_path), models) == [] and seen.value == 120
+
+
+def test_entry_counts(counted):
+    """Two passes over the rows for one key, and one more for each further key; a key may be a count that was made before."""
+    df, seen = counted
+    found = entries.with_entry_counts(df, {"n_a": "a", "n_b": "b", "n_n": "n_b", "n_k": "k"}, heavy=8).collect()
+    assert len(found) == 60 and {(r.n_a, r.n_k) for r in found} == {("5.0+", "1")}
+    b = Counter(r.b for r in found)
+    named = [None if r.b is None else "5.0+" if b[r.b] >= 5 else str(b[r.b]) for r in found]
+    n = Counter(named)
+    assert [r.n_b for r in found] == named and [r.n_n for r in found] == [None if x is None else "5.0+" if n[x] >= 5 else str(n[x]) for x in named]
+    assert seen.value <= 5 * 60
