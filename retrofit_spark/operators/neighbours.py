@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .staging import staged
 
-#: Rows that the k-means model is fitted on, about; cells; rows of a block; adopters that meet a block at once.
-SAMPLE, CELLS, BLOCK, ASKING = 20_000, 64, 4096, 256
+#: Rows that the k-means model is fitted on, about; cells at least and at most; rows of a block; adopters that meet a block at once.
+SAMPLE, CELLS, MOST_CELLS, BLOCK, ASKING = 20_000, 64, 1024, 4096, 256
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -36,8 +36,9 @@ def _away(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def _assign(centres: np.ndarray):
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ASKING):
+                batch = whole.slice(at, ASKING)
                 away = _away(_matrix(batch.column(2)), centres)
                 cell = away.argmin(1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(away[np.arange(len(cell)), cell])], ["row", "key", "vector", "adopted", "cell", "away"])
@@ -116,10 +117,11 @@ def _best(met: DataFrame, k: int) -> DataFrame:
     return met.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def nearest_non_adopters(df: DataFrame, key: str, vector: str, adopted: str, k: int = 5, cells: int = CELLS, probes: int | None = None, seed: int = 42) -> DataFrame:
+def nearest_non_adopters(df: DataFrame, key: str, vector: str, adopted: str, k: int = 5, cells: int | None = None, probes: int | None = None, seed: int = 42) -> DataFrame:
     """adopter, neighbour, rank, distance: the k nearest rows without the flag of each row with it (all, if fewer), by Euclidean distance and then key.
 
-    Rows with a null key, flag, vector or component take no part, nor do those whose vector has another length than most. Rows that repeat are rows of their own. `probes` is the number of cells that an adopter looks into; None looks into all that could matter.
+    Rows with a null key, flag, vector or component take no part, nor do those whose vector has another length than most. Rows that repeat are rows of their own. `probes` is the number of cells that an adopter looks into; None looks into all that could matter. There are as many cells as blocks would
+    fill, from CELLS to MOST_CELLS, so that a cell doesn't grow with the table.
     """
     whole = F.transform(F.col(vector), lambda x: x.cast("double"))
     own = df.select(F.col(key).cast("long").alias("key"), whole.alias("vector"), F.col(adopted).cast("boolean").alias("adopted"))
@@ -134,7 +136,9 @@ def nearest_non_adopters(df: DataFrame, key: str, vector: str, adopted: str, k:
     if sample.distinct().limit(2).count() < 2:  # nothing to tell cells apart by
         centres = np.zeros((1, shape.dims))
     else:
-        centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(sample.select(array_to_vector("vector").alias("features"))).clusterCenters())
+        cells = cells or min(MOST_CELLS, max(CELLS, shape["count"] // BLOCK))
+        # The usual start runs k-means over some thousand candidates on the driver.
+        centres = np.array(KMeans(k=cells, seed=seed, maxIter=10, initMode="k-means||" if cells <= CELLS else "random").fit(sample.select(array_to_vector("vector").alias("features"))).clusterCenters())
     celled = own.select(F.monotonically_increasing_id().alias("row"), "key", "vector", "adopted").mapInArrow(_assign(centres), "row long, key long, vector array<double>, adopted boolean, cell int, away double")
     celled = staged(celled)
     others, adopters = celled.where(~F.col("adopted")), celled.where("adopted")
@@ -142,7 +146,7 @@ def nearest_non_adopters(df: DataFrame, key: str, vector: str, adopted: str, k:
     counts = np.array([stats[c].n if c in stats else 0 for c in range(len(centres))])
     radii = np.array([stats[c].radius if c in stats else 0.0 for c in range(len(centres))])
     parts = -(-counts // BLOCK)
-    n_parts = F.element_at(F.array(*(F.lit(int(n)) for n in np.maximum(parts, 1))), F.col("cell") + 1)
+    n_parts = F.element_at(F.split(F.lit(",".join(str(n) for n in np.maximum(parts, 1))), ",").cast("array<int>"), F.col("cell") + 1)
     dealt = others.select("cell", F.pmod(F.xxhash64("row"), n_parts).cast("int").alias("part"), "key", "vector")
     blocks = staged(dealt.groupBy("cell", "part").applyInArrow(_packed, "cell int, part int, keys binary, vectors binary"))
     asked_schema = "cell int, rows binary, queries binary, bounds binary"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, encode, features
 from ..functions import lookups as L
 from ..operators import areas, entries, grid, installs, joins, metrics, ml, neighbours, profile, sampling, spatial
-from ..operators.staging import new_path
+from ..operators.staging import new_path, staged
 from . import jobs, training, views
 from .views import base, case, coords, epc, imd, mcs, oracle, table
 
@@ -751,10 +751,10 @@ def minmax_scale(spark, d):
 _MODEL_FEATURES = ["total_floor_area", "co2_emissions_current", "rooms", "rating", "roof", "floor"]
 
 
-def _model_rows(spark, d) -> DataFrame:
+def _model_rows(spark, d, *more: str) -> DataFrame:
     number = lambda x: c(x).cast("double")
     return base(spark, d).select(
-        "brn", "sector", "hp", number("total_floor_area").alias("total_floor_area"), number("co2_emissions_current").alias("co2_emissions_current"), clean.numeric(c("number_habitable_rooms")).alias("rooms"),
+        *more, "brn", "sector", "hp", number("total_floor_area").alias("total_floor_area"), number("co2_emissions_current").alias("co2_emissions_current"), clean.numeric(c("number_habitable_rooms")).alias("rooms"),
         features.rating_number(c("current_energy_rating")).alias("rating"), encode.efficiency_value(c("roof_energy_eff")).alias("roof"), clean.floor_level(c("floor_level")).alias("floor"),
     )
 
@@ -892,10 +892,10 @@ v AS (SELECT uprn, sector, hp, [""" + ", ".join(f"CASE WHEN max({x}) OVER () > m
 
 def _homes(spark, d) -> DataFrame:
     """The latest certificate of each property with its features, imputed and scaled, as one array."""
-    rows = _model_rows(spark, d).select("brn", *_HOME_FEATURES)
-    latest = entries.pick_entry(base(spark, d).where(c("uprn").isNotNull()), "uprn", "latest entry", date="inspection_date", tie="brn").select("uprn", "sector", "hp", "brn").join(rows, "brn")
+    rows = _model_rows(spark, d, "uprn", "inspection_date").where(c("uprn").isNotNull())
+    latest = staged(entries.pick_entry(rows, "uprn", "latest entry", date="inspection_date", tie="brn").select("uprn", "sector", "hp", *_HOME_FEATURES))
     whole = ml.impute(latest, ml.fit_medians(latest, _HOME_FEATURES))
-    return ml.min_max(whole, ml.fit_ranges(whole, _HOME_FEATURES)).select("uprn", "sector", "hp", F.array(*_HOME_FEATURES).alias("vector"))
+    return staged(ml.min_max(whole, ml.fit_ranges(whole, _HOME_FEATURES)).select("uprn", "sector", "hp", F.array(*_HOME_FEATURES).alias("vector")))
 
 
 @query(f"""WITH {_HOMES},

@@ -45,6 +45,18 @@ def test_nearest(spark, monkeypatch, n, dims, k, block, cells):
     assert found(table(spark, rows), k=k, cells=cells) == by_force(rows, k)
 
 
+def test_more_cells_for_more_rows(spark, monkeypatch):
+    """A cell doesn't grow with the table, and results stay exact."""
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    cells, assign = [], neighbours._assign
+    monkeypatch.setattr(neighbours, "_assign", lambda centres: cells.append(len(centres)) or assign(centres))
+    rows = homes(900, 4, 2)
+    assert found(table(spark, rows)) == by_force(rows, 5)
+    assert 64 < cells[0] <= 112
+    monkeypatch.setattr(neighbours, "MOST_CELLS", 80)
+    assert found(table(spark, rows)) == by_force(rows, 5) and cells[1] <= 80
+
+
 def test_edges(spark):
     assert found(table(spark, [])) == Counter()
     assert found(table(spark, [(1, [], True), (2, [], False)])) == Counter()
