@@ -151,14 +151,15 @@ def nearest_non_adopters(df: DataFrame, key: str, vector: str, adopted: str, k:
     blocks = staged(dealt.groupBy("cell", "part").applyInArrow(_packed, "cell int, part int, keys binary, vectors binary"))
     asked_schema = "cell int, rows binary, queries binary, bounds binary"
     met_schema = "row long, neighbour long, distance double"
+    # Both sides hold vectors, whose size Spark underrates: unless told to merge, it may broadcast them, all through the driver.
     asking = adopters.select("row", "vector", "cell").repartitionByRange("cell", "row").sortWithinPartitions("cell")
     home = asking.select("row", "vector").mapInArrow(_ask(centres, counts, radii, probes, True), asked_schema).withColumn("part", F.lit(0))
-    bounds = home.join(blocks, ["cell", "part"]).mapInArrow(_meet(k), met_schema).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("bound"))
+    bounds = home.join(blocks.hint("merge"), ["cell", "part"]).mapInArrow(_meet(k), met_schema).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("bound"))
     bounds = bounds.select("row", F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
     bounded = adopters.select("row", "vector", "cell").join(bounds, "row", "left").repartitionByRange("cell", "row").sortWithinPartitions("cell")
     asked = bounded.select("row", "vector", "bound").mapInArrow(_ask(centres, counts, radii, probes, False), asked_schema)
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-    best = _best(asked.join(blocks, ["cell", "part"]).mapInArrow(_meet(k), met_schema), k)
+    best = _best(asked.join(blocks.hint("merge"), ["cell", "part"]).mapInArrow(_meet(k), met_schema), k)
     return best.join(adopters.select("row", F.col("key").alias("adopter")), "row").select("adopter", "neighbour", F.col("rank").cast("int").alias("rank"), "distance")
 
 
