@@ -118,7 +118,7 @@ def cap(c: Column, n: float) -> Column:
 
 
 def postcode(c: Column) -> Column:
-    return F.upper(F.regexp_replace(c, r"\s+", ""))
+    return F.upper(F.translate(c, " \t\n\x0b\f\r", ""))
 
 
 LEVELS = ("area", "district", "sector", "unit")

@@ -3,7 +3,8 @@
 A row stands once for each tree, with the node that it has come to and how often it was drawn. A level counts rows and sums the label by (node, feature,
 bin); sums over bins from the left give every possible split, and each node takes the best. Rows then move to the child that
 their bin says, or stay, if their node doesn't split. Nodes are numbered by level, so depth has no bound; splits stay tables, so neither has the number of
-nodes. The driver holds thresholds of features only.
+nodes. The driver holds thresholds of features only. Once no node has more than LOCAL rows, each node's rows meet in one task, which grows all that is
+below it: one job in place of some for each level.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from .staging import release, staged
 
 BINS = 256
+#: Rows of a node below which one task grows the rest, at most 2 ** 15: a level has no more nodes than that.
+LOCAL = 1 << 14
+_BITS = 15
+_GROWN = pa.schema([("level", pa.int32()), ("node", pa.int64()), ("f", pa.int32()), ("bin", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("value", pa.float64())])
 
 
 def thresholds(rows: DataFrame, dims: int, bins: int = BINS) -> list[np.ndarray]:
@@ -119,16 +124,26 @@ class DeepForest:
 
     def fit(self, df: DataFrame) -> ForestModel:
         rows = staged(df.select(F.monotonically_increasing_id().alias("row"), F.col(self.labelCol).cast("double").alias("y"), vector_to_array(self.featuresCol).cast("array<double>").alias("x")))
-        first = rows.select(F.size("x").alias("d")).first()
-        if first is None or not first.d:
+        first = rows.agg(F.first(F.size("x")).alias("d"), F.count(F.lit(1)).alias("n")).head()
+        if not first.d:
             raise ValueError("no rows or no features to learn from")
         cuts, taken = thresholds(rows, first.d, self.bins), self._taken(first.d)
         state = _on_roots(rows.mapInArrow(_binned(cuts), "row long, y double, bins array<int>"), self.n_trees)
         weight = drawn(F.col("row"), F.col("tree"), self.seed) if self.bootstrap else F.lit(1)
-        state = staged(state.withColumn("w", weight).where("w > 0"))
+        state, most = state.withColumn("w", weight).where("w > 0"), first.n
+        if most > LOCAL:
+            state = staged(state)
         levels, leaves = [], []
         while True:
             depth = len(levels)
+            if most > LOCAL and depth:
+                most = state.groupBy("node").count().agg(F.max("count")).head()[0] or 0
+            if most <= LOCAL:
+                grown = staged(state.groupBy("node").applyInArrow(self._below(depth, taken), "level int, node long, f int, bin int, left long, right long, value double"))
+                deepest = grown.where("f IS NOT NULL").agg(F.max("level")).head()[0]
+                levels += [grown.where((F.col("level") == k) & F.col("f").isNotNull()).drop("level", "value") for k in range(depth, depth if deepest is None else deepest + 1)]
+                leaves.append(grown.where("f IS NULL").select("level", "node", "value"))
+                break
             nodes = state.groupBy("node").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("value"))
             splits = self._splits(state, first.d, taken, depth) if self.max_depth is None or depth < self.max_depth else None
             splits = None if splits is None else staged(splits)
@@ -142,6 +157,46 @@ class DeepForest:
             release(before)
         return ForestModel(self.featuresCol, cuts, self.n_trees, levels, staged(reduce(DataFrame.unionByName, leaves)))
 
+    def _below(self, depth: int, taken: int):
+        """All nodes from one of level `depth` down, from its rows: splits, and leaves with their values. Nodes below are numbered by the first one's number and their place in the level."""
+        least = max(self.min_split, 2 * self.min_leaf)
+
+        def best_split(bins: np.ndarray, w: np.ndarray, s: np.ndarray, features: np.ndarray) -> tuple[int, int] | None:
+            whole, best, found = s.sum() ** 2 / w.sum(), -np.inf, None
+            for f in features.tolist():
+                n_left, w_left, s_left = np.bincount(bins[:, f]).cumsum(), np.bincount(bins[:, f], w).cumsum(), np.bincount(bins[:, f], s).cumsum()
+                fits = np.flatnonzero((n_left >= self.min_leaf) & (len(w) - n_left >= max(self.min_leaf, 1)))
+                if len(fits):
+                    gain = s_left[fits] ** 2 / w_left[fits] + (s_left[-1] - s_left[fits]) ** 2 / (w_left[-1] - w_left[fits]) - whole
+                    k = int(gain.argmax())
+                    if gain[k] > max(best, 1e-12 * (1 + whole)):
+                        best, found = gain[k], (f, int(fits[k]))
+            return found
+
+        def run(table: pa.Table) -> pa.Table:
+            y, w = (table.column(c).to_numpy().astype(float) for c in "yw")
+            bins, first = table.column("bins").combine_chunks().flatten().to_numpy().reshape(len(y), -1), table.column("node")[0].as_py()
+            s, out, now, level = w * y, [], [(first, np.arange(len(y)))], depth
+            while now:
+                below = []
+                for node, rows in now:
+                    split = None
+                    if len(rows) >= least and (self.max_depth is None or level < self.max_depth):
+                        every = np.arange(bins.shape[1])
+                        picked = every if taken == len(every) else np.sort(np.random.default_rng([self.seed, level, node]).permutation(every)[:taken])
+                        split = best_split(bins[rows], w[rows], s[rows], picked)
+                    if split is None:
+                        out.append((level, node, None, None, None, None, s[rows].sum() / w[rows].sum()))
+                        continue
+                    left = bins[rows, split[0]] <= split[1]
+                    children = [(first << _BITS) + len(below) + k for k in (0, 1)]
+                    below += [(children[0], rows[left]), (children[1], rows[~left])]
+                    out.append((level, node, *split, *children, None))
+                now, level = below, level + 1
+            return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _GROWN.types, strict=True)], schema=_GROWN)
+
+        return run
+
     def _splits(self, state: DataFrame, dims: int, taken: int, depth: int) -> DataFrame:
         """node, f, bin (the last one on the left), left, right: the split of each node that takes most from the squared error; ties go to the first feature and bin."""
         every = F.sequence(F.lit(0), F.lit(dims - 1))
