@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 from functools import reduce
 from math import prod
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, MinMaxScaler, StandardScaler, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GeneralizedLinearRegression, GeneralizedLinearRegressionModel, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,28 +81,62 @@ def estimator(name: str, features: str, label: str, n: int, params: dict | None
     return model.setParams(**params) if params else model
 
 
-def reduced(model: PipelineModel, variance: float) -> int:
+def reduced(shares: np.ndarray, variance: float) -> int:
     """How many leading components explain so much of the variance."""
     total, kept = 0.0, 0
-    for share in model.explainedVariance.toArray():
+    for share in shares:
         if total >= variance:
             break
         total, kept = total + share, kept + 1
     return max(1, kept)
 
 
-def fit_preparation(df: DataFrame, features: list[str], variance: float | None = 0.9) -> tuple[dict[str, float], PipelineModel]:
-    """Medians; then the pipeline of min-max scaling and, if asked for, centring and PCA to a share of the variance."""
+@dataclass(frozen=True)
+class Preparation:
+    """Min-max scaling, and centring and rotation to the leading components where these are asked for, as one affine map of the features.
+
+    shares: each component's share of the variance.
+    """
+
+    features: list[str]
+    weights: np.ndarray
+    offsets: np.ndarray
+    shares: np.ndarray | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds `features`, a vector. Raises at a value that is null or not a number."""
+        own = [F.col(f"`{f}`").cast("double") for f in self.features]
+        own = [F.when(x.isNull() | F.isnan(x), F.raise_error(F.lit(f"{f}: a value is null or not a number")).cast("double")).otherwise(x) for f, x in zip(self.features, own, strict=True)]
+        rows = df.withColumns({f"__own_{k}": x for k, x in enumerate(own)})
+        made = [reduce(lambda a, b: a + b, (F.col(f"__own_{k}") * F.lit(float(w)) for k, w in enumerate(column) if w), F.lit(float(b))) for column, b in zip(self.weights.T, self.offsets, strict=True)]
+        return rows.withColumn("features", array_to_vector(F.array(*made))).drop(*(f"__own_{k}" for k in range(len(own))))
+
+
+def fit_preparation(df: DataFrame, features: list[str], variance: float | None = 0.9) -> tuple[dict[str, float], Preparation]:
+    """Medians; then min-max scaling and, if asked for, centring and PCA to a share of the variance.
+
+    After the medians this takes one pass for ranges and means and one for the products of all pairs of features, from which those of the scaled ones follow.
+    A constant feature is scaled to a half.
+    """
     medians = fit_medians(df, features)
-    full = impute(df, medians)
-    stages = [VectorAssembler(inputCols=features, outputCol="__raw"), MinMaxScaler(inputCol="__raw", outputCol="features" if variance is None else "__scaled")]
+    full, d = impute(df, medians), len(features)
+    row = full.agg(F.count(F.lit(1)), *(g(f"`{f}`") for g in (F.min, F.max, F.avg) for f in features)).head()
+    if row[0] < (1 if variance is None else 2):
+        raise ValueError("too few rows to prepare features on")
+    lo, hi, mean = np.array(row[1:], float).reshape(3, d)
+    if not np.isfinite(hi - lo).all():  # the largest is nan where any is
+        raise ValueError("features must be finite numbers")
+    varies = hi > lo
+    scale = np.where(varies, 1 / np.where(varies, hi - lo, 1.0), 0.0)
     if variance is None:
-        return medians, Pipeline(stages=stages).fit(full)
-    stages += [StandardScaler(inputCol="__scaled", outputCol="__centred", withMean=True, withStd=False)]
-    centred = Pipeline(stages=stages).fit(full)
-    pca = PCA(k=len(features), inputCol="__centred", outputCol="__all").fit(centred.transform(full))
-    kept = VectorSlicer(inputCol="__all", outputCol="features", indices=list(range(reduced(pca, variance))))
-    return medians, PipelineModel(stages=[*centred.stages, pca, kept])
+        return medians, Preparation(features, np.diag(scale), np.where(varies, -lo * scale, 0.5))
+    found = profile.co_moments(full, features, centre=mean)
+    covariance = (found.products - found.sums * found.sums.T / row[0]) / (row[0] - 1) * np.outer(scale, scale)
+    turned, strength, _ = np.linalg.svd(covariance)
+    with np.errstate(invalid="ignore"):
+        shares = strength / strength.sum()
+    kept = turned[:, : reduced(shares, variance)]
+    return medians, Preparation(features, scale[:, None] * kept, -(mean * scale) @ kept, shares)
 
 
 def _linear(model) -> Column | None:
@@ -147,7 +181,7 @@ def train_and_predict(df: DataFrame, target: str, features: list[str], key: str,
     fitted = estimator(model, "features", "__label", learning.count(), params).fit(learning)
     learning.unpersist()
     out = metrics.with_error(predict(ready, fitted, classification), target, "prediction", classification)
-    return out.drop("__label", "__raw", "__scaled", "__centred", "__all", "features", "prediction", "rawPrediction", "probability")
+    return out.drop("__label", "features", "prediction", "rawPrediction", "probability")
 
 
 def evaluate_models(df: DataFrame, targets: list[str], features: list[str], key: str, models: tuple[str, ...], **options) -> tuple[DataFrame, dict[tuple[str, str], DataFrame]]:
@@ -250,9 +284,8 @@ def important_coefficients(df: DataFrame, target: str, features: list[str], top:
 def explained_variance(df: DataFrame, features: list[str]) -> DataFrame:
     """component, share of the variance, and the sum so far."""
     _, preparation = fit_preparation(df, features)
-    pca = next(s for s in preparation.stages if hasattr(s, "explainedVariance"))
     rows, total = [], 0.0
-    for k, share in enumerate(pca.explainedVariance.toArray()):
+    for k, share in enumerate(preparation.shares):
         total += float(share)
         rows.append((k, float(share), total))
     return df.sparkSession.createDataFrame(rows, "component int, share double, cumulative double")

@@ -58,12 +58,13 @@ class CoMoments:
         return np.clip(r, -1, 1)
 
 
-def co_moments(df: DataFrame, features: list[str], centred: bool = True) -> CoMoments:
-    """Sums for all pairs of features in one job, after one for the means: a task multiplies blocks of its rows, and squares of the number of features are added up as a tree."""
+def co_moments(df: DataFrame, features: list[str], centred: bool = True, centre: np.ndarray | None = None) -> CoMoments:
+    """Sums for all pairs of features in one job, after one for the means, unless a centre is given: a task multiplies blocks of its rows, and squares of the number of features are added up as a tree."""
     d = len(features)
     own = [F.col(f"`{f}`").cast("double") for f in features]
-    centre = np.zeros(d)
-    if centred:
+    if centre is None and not centred:
+        centre = np.zeros(d)
+    elif centre is None:
         centre = np.array([x if x is not None and math.isfinite(x) else 0.0 for x in df.agg(*(F.avg(x) for x in own)).head()])
 
     def run(batches):

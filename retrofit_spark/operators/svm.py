@@ -3,7 +3,7 @@
 Minimised is the mean hinge loss + alpha * ((1 - l1_ratio) / 2 * |w|^2 + l1_ratio * |w|_1); the intercept isn't penalised. The hinge is rounded off
 within a width that shrinks from stage to stage, each stage starting where the last one ended. A step takes the loss's gradient and curvature, sums over
 blocks of rows that are made in the tasks that hold them and put together as a tree. The driver, which holds a square of the number of features and no
-rows, solves the penalised quadratic with soft thresholds; then one more pass measures a series of step lengths. A stage ends when the objective falls by
+rows, solves the penalised quadratic with soft thresholds; then one pass measures a series of step lengths, and the slopes at the first of them for the next step. A stage ends when the objective falls by
 less than `tol` of itself.
 """
 
@@ -47,10 +47,6 @@ def _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([signed.shape[1]], pa.int32()), pa.array([signed.astype("<f8").tobytes()], pa.binary())], ["d", "signed"])
 
 
-def _rounded(gap: np.ndarray, width: float) -> np.ndarray:
-    return np.where(gap > width, gap - width / 2, np.where(gap > 0, gap * gap / (2 * width), 0.0))
-
-
 def _slopes(signed: np.ndarray, w: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
     """Gradient and curvature of the rounded hinge."""
     gap = 1 - signed @ w
@@ -60,8 +56,11 @@ def _slopes(signed: np.ndarray, w: np.ndarray, width: float) -> tuple[np.ndarray
 
 def _losses(signed: np.ndarray, points: np.ndarray, width: float) -> np.ndarray:
     """Sums of the rounded and of the true hinge at each point."""
-    gaps = 1 - signed @ points.T
-    return np.stack((_rounded(gaps, width).sum(0), np.maximum(gaps, 0).sum(0)))
+    gaps = signed @ points.T
+    np.subtract(1, gaps, out=gaps)
+    hinge = np.maximum(gaps, 0, out=gaps).sum(0)
+    bent = np.minimum(gaps, width, out=gaps)  # what is beyond the width counts in full, what is within it by its square
+    return np.stack((hinge - bent.sum(0) + np.einsum("ij,ij->j", bent, bent) / (2 * width), hinge))
 
 
 def quadratic_step(gradient: np.ndarray, curved: np.ndarray, w: np.ndarray, shrink: np.ndarray) -> np.ndarray:
@@ -115,20 +114,23 @@ class LinearSVM:
         shrink = np.append(np.full(d - 1, self.alpha * self.l1_ratio), 0.0)
         ridge = np.append(np.full(d - 1, self.alpha * (1 - self.l1_ratio)), 0.0)
 
-        def objectives(points: np.ndarray, width: float) -> np.ndarray:
-            """Of the rounded and of the true hinge."""
-            return blocks.map(lambda b: _losses(b, points, width)).treeReduce(np.add) / n + np.array([self.penalty(p[:-1]) for p in points])
+        def measured(points: np.ndarray, width: float, slopes: bool = True):
+            """Objectives of the rounded and of the true hinge at each point, and the slopes at the first one, in one pass."""
+            task = lambda b: (_losses(b, points, width), *(_slopes(b, points[0], width) if slopes else ()))
+            sums, *bent = blocks.map(task).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)))
+            return sums / n + np.array([self.penalty(p[:-1]) for p in points]), bent
 
         w, taken = np.zeros(d), 0
         for width in WIDTHS:
-            now, damping = float(objectives(w[None], width)[0, 0]), DAMPING
+            found, slopes = measured(w[None], width)
+            now, damping = float(found[0, 0]), DAMPING
             while taken < self.max_iter:
                 taken += 1
-                gradient, curved = blocks.map(lambda b, w=w, width=width: _slopes(b, w, width)).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+                gradient, curved = slopes
                 damped = curved / n + np.diag(ridge + damping * (1 + np.trace(curved) / n / d))
                 way = quadratic_step(gradient / n + ridge * w, damped, w, shrink) - w
                 points = w + LENGTHS[:, None] * way
-                found = objectives(points, width)[0]
+                (found, _), ahead = measured(points, width)
                 best = int(found.argmin())
                 fall, before = now - float(found[best]), now
                 if fall > 0:
@@ -137,4 +139,6 @@ class LinearSVM:
                     if damping >= 1 or fall > 0:
                         break
                     damping *= 1000  # the quadratic is too flat to say how far to go
-        return HingeModel(w[:-1], float(w[-1]), float(objectives(w[None], WIDTHS[-1])[1, 0]), taken)
+                elif taken < self.max_iter:  # the whole step is the best as a rule, and its slopes are known
+                    slopes = ahead if best == 0 else measured(w[None], width)[1]
+        return HingeModel(w[:-1], float(w[-1]), float(measured(w[None], WIDTHS[-1], False)[0][1, 0]), taken)
