@@ -15,12 +15,15 @@ import json
 import os
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 from .arrowtext import SpanHash, spread
 
 MEMO_UNITS, MEMO_BYTES = 300_000, 64
+#: Bytes of text that are put together for one call of the library, about.
+JOINED = 4096
 
 
 def tokenizer_path(name: str) -> str:
@@ -90,6 +93,22 @@ def covered(tokenizer) -> bool:
     return bool((own_split or word_split) and plain and special)
 
 
+def keeps_bytes(tokenizer) -> bool:
+    """Whether the tokens of a text are its bytes, one after the other: byte level, nothing normalised or dropped."""
+    made = json.loads(tokenizer.to_str())
+    return not made.get("normalizer") and (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
+
+
+def token_sizes(tokenizer) -> np.ndarray:
+    """Bytes of each token: a byte level's token has a character for each, an added one is as it is written."""
+    out = np.zeros(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, np.int64)
+    for token, k in tokenizer.get_vocab(with_added_tokens=True).items():
+        out[k] = len(token)
+    for k, added in tokenizer.get_added_tokens_decoder().items():
+        out[k] = len(added.content.encode())
+    return out
+
+
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: SpanHash) -> tuple[np.ndarray, np.ndarray]:
     """(first, inverse) over spans that tile `data`: which span first has each content, and each span's content."""
     _, first, inverse = np.unique(hashes.of(starts, ends), return_index=True, return_inverse=True)
@@ -113,6 +132,7 @@ class UnitEncoder:
         self.tokenizer, self.memo, self.older = load(path), {}, {}
         self.covered = covered(self.tokenizer)
         self.folds = self.covered and drops_case_and_space(self.tokenizer)
+        self.sizes = token_sizes(self.tokenizer) if self.covered and keeps_bytes(self.tokenizer) else None
 
     def breaks(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of stretches that are encoded by themselves."""
@@ -130,15 +150,34 @@ class UnitEncoder:
             else:
                 found[k] = memo[units[k]] = again
         if missing:
-            encoded = self.tokenizer.encode_batch_fast([units[k].decode() for k in missing], add_special_tokens=False)
-            for k, e in zip(missing, encoded, strict=True):
-                found[k] = array("I", e.ids).tobytes()
+            for k, ids in zip(missing, self._encoded([units[k] for k in missing]), strict=True):
+                found[k] = ids
                 if len(units[k]) <= MEMO_BYTES:
                     memo[units[k]] = found[k]
         if len(memo) > MEMO_UNITS:
             self.memo, self.older = {}, memo
         return found
 
+    def _encoded(self, units: list[bytes]) -> list[bytes]:
+        """The ids of units that aren't remembered. Units are put together to texts of some KB where the joints are safe breaks, if tokens keep their bytes, by which ids are told apart again."""
+        one_by_one = lambda some: [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([u.decode() for u in some], add_special_tokens=False)]
+        if self.sizes is None:
+            return one_by_one(units)
+        raw = b"".join(units)
+        data, ends = np.frombuffer(raw, np.uint8), np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+        starts = np.append(0, ends[:-1])
+        safe = np.isin(starts, safe_breaks(data, np.zeros(1, np.int64)), assume_unique=True)
+        firsts = np.flatnonzero(~safe | np.append(True, starts[1:] // JOINED != starts[:-1] // JOINED))
+        edges = np.append(starts[firsts], len(raw)).tolist()
+        encoded = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)], add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(e.ids for e in encoded)), np.uint32)
+        upto = np.cumsum(self.sizes[ids])
+        at = np.searchsorted(upto, ends)
+        if not np.array_equal(upto[np.minimum(at, len(upto) - 1)] if len(upto) else at, ends):
+            return one_by_one(units)
+        blob, cuts = ids.tobytes(), ((at + 1) * 4).tolist()
+        return [blob[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
     def _parts(self, data: np.ndarray, offsets: np.ndarray):
         """(ids of all distinct stretches, where each one's begin, how many, which stretch is where, starts of stretches)."""
         starts = self.breaks(data, offsets)

@@ -103,3 +103,25 @@ def test_pack_edges(spark, nothing):
     long = spark.createDataFrame(rows_of(["word " * 700_000, "word", None]), SCHEMA)
     got = packing.pack(long).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {1: -(-700_002 // 2048), 2: 1, 3: 1}
+
+
+def test_stretches_are_encoded_together(monkeypatch):
+    """The library is called for texts of some KB, not for each stretch, and gives the ids of whole texts: special strings, marks after digits, white space at ends, Latin letters, nothing."""
+    from retrofit_spark.llm import units
+
+    path = units.tokenizer_path("byte_bpe_50k.json")
+    texts = ["", " ", "a", "x1.", "<|endoftext|>", "Zoë, naïve (42). 7, 8; 中文 \n\n end  ", "<|endo", "ftext|> .", " b ́c", "  lead", "tail  ", ".", "\U0001f600 ok!", " ".join(f"word{k} x{k}a, y.{k}\t{k % 7}" for k in range(3000))]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+    encoder, asked = units.UnitEncoder(path), []
+
+    class Counting:
+        def encode_batch_fast(self, some, **options):
+            asked.extend(some)
+            return units.load(path).encode_batch_fast(some, **options)
+
+    encoder.tokenizer = Counting()
+    ids, at = encoder.encode(data, offsets)
+    for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == units.load(path).encode(text, add_special_tokens=False).ids, text
+    assert len(asked) < len(encoder.memo) / 2
